@@ -1,14 +1,17 @@
 """The same queries in DuckDB's SQL, over the given tables as views."""
 
-from voxstars.functions.columns import BLANK_CLASS
 from voxstars.functions.stopwords import ENGLISH
 from voxstars.plans.catalogue import ACCENTED, KEYWORD, MIN_USER_REVIEWS, PRODUCT_ID, USER_ID
 from voxstars import schema as S
 
+# The blanks of Unicode, with the 0x1c-0x1f separators, as a regex class.
+BLANK_CLASS = (
+    r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+)
 STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in ENGLISH)
 
 TABLES = f"""
-WITH lines AS (
+WITH lines AS MATERIALIZED (
   SELECT *, CAST((l_suppkey + l_linenumber) % 8 AS BIGINT) AS den,
          CAST((CAST(l_quantity AS BIGINT) + p_size) % 10 AS INT) AS x,
          ((l_orderkey * 100000 + l_partkey) * 10 + l_linenumber) * 100000
