@@ -119,5 +119,6 @@ def letters_only(text):
 
 
 def words(cleaned):
-    """Split on runs of blanks; no empty words."""
-    return F.filter(F.split(col(cleaned), f"[{BLANK_CLASS}]+"), lambda w: w != "")
+    """Split on runs of blanks. A blank at either end leaves an empty word there, which readers skip
+    after exploding: a row filter is compiled, a filter inside the array is not."""
+    return F.split(col(cleaned), f"[{BLANK_CLASS}]+")
