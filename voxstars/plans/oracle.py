@@ -143,7 +143,7 @@ CARD = f"""SELECT Id, substr(CASE WHEN Summary <> '' THEN Summary ELSE 'No Summa
 VOCABULARY = f"""SELECT DISTINCT word FROM (SELECT unnest({split(plain('text'))}) AS word FROM documents)
   WHERE length(word) >= 3"""
 LEMMAS = """SELECT word AS form, substr(word, 1, length(word) - 1) AS lemma FROM vocabulary
-  WHERE word LIKE '%s' AND substr(word, 1, length(word) - 1) IN (SELECT word FROM vocabulary)"""
+  WHERE substr(word, 1, length(word) - 1) IN (SELECT word FROM vocabulary)"""
 SENTIMENT_WORDS = f"""SELECT Id, Score, word FROM (
     SELECT Id, Score, unnest({split(plain("Summary || ' ' || Text"))}) AS word FROM dedup)
   WHERE length(word) >= 3 AND word NOT IN ({STOP})"""
