@@ -29,7 +29,7 @@ QUERIES = {}
 FILE_COLUMNS = [f.name for f in S.CSV_SCHEMA]
 
 KEYWORD = "worthless|red wid.et"
-ACCENTED = "ÉANON"
+ACCENTED = "ÉMENT"
 PRODUCT_ID = "P7"
 USER_ID = "U7"
 MIN_USER_REVIEWS = 45
