@@ -332,7 +332,7 @@ def test_models_score_every_row(spark, reviews):
 
 
 def test_csv_round_trip(spark, tmp_path):
-    path = tmp_path / "Reviews.csv"
+    path = tmp_path / "in.csv"
     path.write_text(
         "Id,ProductId,UserId,ProfileName,HelpfulnessNumerator,HelpfulnessDenominator,Score,Time,Summary,Text\n"
         '1,B1,A1,"Ann ""x""",1,2,5,1303862400,"Good, ""really""","two\nlines"\n'
