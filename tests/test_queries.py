@@ -4,8 +4,9 @@ import pytest
 from oracle import compare, connect
 
 from __spark_entry__ import entry, oracle_sql, queries
+from voxstars.plans.catalogue import QUERIES
+from voxstars.plans.oracle import ORACLE
 
-QUERIES, ORACLE = queries(), oracle_sql()
 WITHOUT_SQL = {
     "f7_sample_rows": {"Id", "Score", "ReviewLength"},
     "f8_length_vs_helpfulness": {"Id", "ReviewLength", "HelpfulnessRatio", "Score", "Summary", "text_md5"},
@@ -39,6 +40,7 @@ def test_rows_without_sql(spark, folder, name):
 
 def test_every_query_is_tested():
     assert set(QUERIES) == set(ORACLE) | set(WITHOUT_SQL)
+    assert set(QUERIES) <= set(queries()) and set(ORACLE) <= set(oracle_sql()) <= set(queries())
 
 
 def test_entry(spark):

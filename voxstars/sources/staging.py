@@ -5,11 +5,16 @@ import uuid
 from voxstars.session import shared_folder
 
 
+def shared_path(spark, name="staged"):
+    """A new path in the folder that all executors share."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def stage(df):
     """Write a table to the shared folder once and read it back.
 
     Jobs that follow start from files that outlive any executor, instead of repeating the plan.
     """
-    path = f"{shared_folder(df.sparkSession)}/staged-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
