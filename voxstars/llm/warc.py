@@ -94,11 +94,12 @@ def record_text(date=DATE):
 
 
 def write_archives(resolved, path, records_per_archive=2000, date=DATE):
-    """Archives of at most so many records each; each row is one record."""
+    """Gzip archives of at most so many records each; each row is one record."""
     (
         resolved.select(record_text(date).alias("value"))
         .write.option("lineSep", "\r\n\r\n")
         .option("maxRecordsPerFile", records_per_archive)
+        .option("compression", "gzip")
         .text(path)
     )
     return path
