@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from voxstars.llm import mixing, vectors, warc
+from voxstars.llm import mixing, resampling, toxicity, vectors, warc
 
 
 def _read(spark, folder, table):
@@ -15,6 +15,18 @@ def op2_warc_revisits(spark, folder):
     return read.select(F.col("record_id").alias("page_id"), *columns)
 
 
+def op6_resample_quality(spark, folder):
+    kept = resampling.resample(_read(spark, folder, "documents"), _read(spark, folder, "labels"))
+    return kept.select("doc_id", "log_weight", "sample_key")
+
+
+def op8_toxic_passages(spark, folder):
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    labels = _read(spark, folder, "labels").filter(fold != 1)
+    scored = toxicity.score(_read(spark, folder, "documents"), labels)
+    return scored.select("doc_id", (fold == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "segments")
+
+
 def op7_mix_sources(spark, folder):
     docs = _read(spark, folder, "documents")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -26,6 +38,8 @@ def op9_nearest_vectors(spark, folder):
 
 QUERIES = {
     "op2_warc_revisits": op2_warc_revisits,
+    "op6_resample_quality": op6_resample_quality,
+    "op8_toxic_passages": op8_toxic_passages,
     "op7_mix_sources": op7_mix_sources,
     "op9_nearest_vectors": op9_nearest_vectors,
 }
