@@ -6,8 +6,8 @@ all labelled text; those whose ratio is large against its standard error are kep
 the ratio of its longest known part, else zero, less a small constant. One scan finds every maximal-scoring segment of a text. A segment of score S in n tokens
 is calibrated by extreme-value statistics: E = K n exp(-lambda S) segments as good are expected in
 clean text, where lambda solves sum p exp(lambda s) = 1 over the clean token distribution and K fits
-clean documents. The significances -ln E of a document's segments are added and a logistic curve,
-fitted on a fold that gave no log-odds, turns the sum into a score.
+clean documents. The significances -ln E of a document's segments are added and a logistic curve of the
+sum's logarithm, fitted on a fold that gave no log-odds, gives the score.
 
 Bounds: about ``max_labelled`` labelled rows, whose ids are broadcast, and ``max_tokens`` tokens in
 the table of log-odds, those with the largest standardised ratio. Every document is scored whole.
@@ -26,13 +26,12 @@ from voxstars.sources.staging import stage
 
 MAX_LABELLED = 500_000
 MAX_TOKENS = 65_536
-PRIOR = 0.1
+PRIOR = 0.05
 SURE = 3.5
-DRIFT = 0.05
+DRIFT = 0.1
 GRID, STEP = 8192, 0.01
 BEGINNINGS = (4, 5, 6, 7, 8)
 MAYBE = (1 << 20) - 1
-CAP = 200.0
 EULER = 0.5772156649015329
 SEGMENTS = "array<struct<start:bigint,end:bigint,gain:double>>"
 
@@ -76,7 +75,8 @@ def log_odds(docs, max_tokens=MAX_TOKENS, prior=PRIOR, sure=SURE):
     """Tokens with a sure log-odds ratio: token hash and score.
 
     ``docs`` has text and label; a document counts once for each token. The Dirichlet prior is the
-    labelled text as a whole: a token's pseudo-count is its count in both classes times ``prior``.
+    labelled text as a whole: a token's pseudo-count is its count in both classes times ``prior``. A
+    token kept as toxic must make a document that holds it more likely toxic than not.
     """
     counts = stage(
         docs.select("text", "label")
@@ -93,12 +93,16 @@ def log_odds(docs, max_tokens=MAX_TOKENS, prior=PRIOR, sure=SURE):
     odds = lambda y, n: F.log((F.col(y) + a) / (F.lit(n + weight) - F.col(y) - a))
     error = F.sqrt(1 / (F.col("toxic") + a) + 1 / (F.col("clean") + a))
     rows = counts.withColumn("score", odds("toxic", n_toxic) - odds("clean", n_clean)).withColumn("z", F.col("score") / error)
-    rows = rows.filter(F.abs("z") >= sure).orderBy(F.desc(F.abs("z")), "token").limit(max_tokens)
+    base = docs.agg(F.avg("label")).first()[0]
+    rows = rows.filter((F.abs("z") >= sure) & ((F.col("score") < 0) | (F.col("score") > float(np.log(1 / base - 1))))).orderBy(F.desc(F.abs("z")), "token").limit(max_tokens)
     return rows.select("token", "score").toPandas()
 
 
-def token_scores(hashes, table):
-    """The score of each token: the log-odds of its longest known part, or none, less the drift."""
+def token_scores(hashes, rows, table):
+    """The score of each token: the log-odds of its longest known part, or none, less the drift.
+
+    A word that a text repeats counts once there, so that one word is no evidence of its own.
+    """
     keys, values, maybe = table
     scores = np.zeros(hashes.shape[1])
     for row in hashes:
@@ -106,6 +110,11 @@ def token_scores(hashes, table):
         at = np.minimum(np.searchsorted(keys, row[hit]), max(0, len(keys) - 1))
         known = keys[at] == row[hit] if len(keys) else np.zeros(0, bool)
         scores[hit[known]] = values[at[known]]
+    good = np.flatnonzero(scores > 0)
+    once = np.unique(mixed(hashes[-1][good].view(np.uint64) + rows[good].astype(np.uint64) * PRIME), return_index=True)[1]
+    again = np.ones(len(good), bool)
+    again[once] = False
+    scores[good[again]] = 0
     return scores - DRIFT
 
 
@@ -159,7 +168,8 @@ def score_shares(clean, table):
         for batch in batches:
             data, offsets = text_bytes(batch.column(0))
             for _, part, at in slices(LOWER[data], offsets):
-                scores = token_scores(_tokens(part, at)[2], table)
+                starts, _, hashes = _tokens(part, at)
+                scores = token_scores(hashes, rows_of(at, starts), table)
                 n += np.bincount(np.clip(np.rint(scores / STEP) + GRID // 2, 0, GRID - 1).astype(np.int64), minlength=GRID)
         cells = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(n[cells])], names=["cell", "n"])
@@ -179,7 +189,7 @@ def _scanned(table):
             counts, spans = [], []
             for _, part, at in slices(LOWER[data], offsets):
                 starts, ends, hashes = _tokens(part, at)
-                scores = token_scores(hashes, table)
+                scores = token_scores(hashes, rows_of(at, starts), table)
                 bounds = np.searchsorted(starts, at)
                 hot = np.r_[0, np.cumsum(scores > 0)]
                 counts.append(np.diff(bounds))
@@ -196,9 +206,10 @@ def _scanned(table):
 
 
 def significance(lam, log_k):
-    """Sum of -ln E over the segments of a text with E below 1."""
+    """ln(1 + sum of -ln E over the segments of a text with E below 1)."""
     log_e = lambda s: F.lit(log_k) + F.log(F.col("n_tokens").cast("double")) - F.lit(lam) * s["gain"]
-    return F.aggregate("segments", F.lit(0.0), lambda total, s: total + F.greatest(F.lit(0.0), -log_e(s)))
+    total = F.aggregate("segments", F.lit(0.0), lambda total, s: total + F.greatest(F.lit(0.0), -log_e(s)))
+    return F.log1p(total)
 
 
 def fit_curve(cells, steps=50):
@@ -237,8 +248,8 @@ def score(docs, labels, label="toxic", max_labelled=MAX_LABELLED, max_tokens=MAX
     centre = known.filter("_label = 0 AND n_tokens > 0").agg(F.avg(best * lam - F.log("n_tokens"))).first()[0]
     log_k = float(centre or 0.0) - EULER
     value = significance(lam, log_k)
-    cells = known.groupBy(F.round(F.least(value, F.lit(CAP)), 1).alias("value"), "_label").agg(F.count(F.lit(1)).alias("n"))
+    cells = known.groupBy(F.round(value, 2).alias("value"), "_label").agg(F.count(F.lit(1)).alias("n"))
     intercept, slope = fit_curve(cells.toPandas())
-    curve = 1 / (1 + F.exp(-(F.lit(intercept) + F.lit(slope) * F.least(value, F.lit(CAP)))))
+    curve = 1 / (1 + F.exp(-(F.lit(intercept) + F.lit(slope) * value)))
     sure = F.filter("segments", lambda s: F.lit(lam) * s["gain"] > log_k + F.log(F.col("n_tokens").cast("double")))
     return scanned.select("doc_id", curve.alias("score"), sure.alias("segments"))
