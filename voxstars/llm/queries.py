@@ -2,19 +2,34 @@
 
 from pyspark.sql import functions as F
 
-from voxstars.llm import mixing, resampling, toxicity, vectors, warc
+from voxstars.llm import decontamination, mixing, resampling, simhash, toxicity, vectors, warc
 
 
 def _read(spark, folder, table):
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def op1_benchmark_passages(spark, folder):
+    found = decontamination.matches(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"))
+    return found.groupBy("doc_id").agg(
+        F.sort_array(F.collect_set("item_id")).alias("item_ids"),
+        F.count(F.lit(1)).alias("n_passages"),
+        F.min("distance").alias("least_distance"),
+        F.max("distance").alias("most_distance"),
+    )
+
+
 def op2_warc_revisits(spark, folder):
     read = warc.deduplicate(_read(spark, folder, "pages"), spark)
     columns = ("payload_bytes", "payload_digest", "record_type", "refers_to")
     return read.select(F.col("record_id").alias("page_id"), *columns)
 
 
+def op4_simhash_components(spark, folder):
+    found = simhash.near_duplicates(_read(spark, folder, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op6_resample_quality(spark, folder):
     kept = resampling.resample(_read(spark, folder, "documents"), _read(spark, folder, "labels"))
     return kept.select("doc_id", "log_weight", "sample_key")
@@ -37,7 +52,9 @@ def op9_nearest_vectors(spark, folder):
 
 
 QUERIES = {
+    "op1_benchmark_passages": op1_benchmark_passages,
     "op2_warc_revisits": op2_warc_revisits,
+    "op4_simhash_components": op4_simhash_components,
     "op6_resample_quality": op6_resample_quality,
     "op8_toxic_passages": op8_toxic_passages,
     "op7_mix_sources": op7_mix_sources,
