@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from voxstars.llm import decontamination, mixing, resampling, simhash, toxicity, vectors, warc
+from voxstars.llm import decontamination, extraction, mixing, resampling, simhash, toxicity, vectors, warc
 
 
 def _read(spark, folder, table):
@@ -51,6 +51,12 @@ def op9_nearest_vectors(spark, folder):
     return vectors.nearest(_read(spark, folder, "embeddings"), F.expr("vec_id % 50 = 0"))
 
 
+def op10_main_text(spark, folder):
+    pages = _read(spark, folder, "pages").select("page_id", "url", "html")
+    texts = pages.select("page_id", "url", extraction.main_text(pages).alias("text"))
+    return texts.select("*", F.length("text").cast("long").alias("n_chars"))
+
+
 QUERIES = {
     "op1_benchmark_passages": op1_benchmark_passages,
     "op2_warc_revisits": op2_warc_revisits,
@@ -59,6 +65,7 @@ QUERIES = {
     "op8_toxic_passages": op8_toxic_passages,
     "op7_mix_sources": op7_mix_sources,
     "op9_nearest_vectors": op9_nearest_vectors,
+    "op10_main_text": op10_main_text,
 }
 
 ORACLE = {
