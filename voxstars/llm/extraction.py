@@ -170,6 +170,11 @@ def features(node):
     return found
 
 
+def place(node):
+    """What the potential of parent and child depends on: the tag, and whether nothing is above it."""
+    return f"{node.tag} alone" if node.parent == 0 else node.tag
+
+
 def labels_of(nodes):
     """1 for content nodes by explicit marks, else by the page's own article; None if it has neither."""
     explicit = any(n.mark is not None for n in nodes)
@@ -195,7 +200,7 @@ def count_page(nodes, labels, counts, times=1):
             for name in features(node):
                 counts[name, label] = counts.get((name, label), 0) + times
             counts["node", label] = counts.get(("node", label), 0) + times
-            edge = f"child of {labels[node.parent]}:{node.tag}"
+            edge = f"child of {labels[node.parent]}:{place(node)}"
             counts[edge, label] = counts.get((edge, label), 0) + times
 
 
@@ -244,7 +249,11 @@ def layouts():
         if k % 6 == 0:  # paragraphs that nothing holds together
             loose = body.replace("<h1>", '<h1 data-main="1">').replace("<h2>", '<h2 data-main="1">').replace("<p>", '<p data-main="1">')
             pages.append(f'{nav}{loose.replace("<ul>", '<ul data-main="1">').replace("<blockquote>", '<blockquote data-main="1">')}{advert}{foot}')
-    return [f'<html><body data-main="0">{p}</body></html>' for p in pages]
+    pages = [f'<html><body data-main="0">{p}</body></html>' for p in pages]
+    for k in range(6):  # fragments without a page around them
+        pages.append("".join(f'<p data-main="1">{sentence(k + i, 3 + 9 * i)}</p>' for i in range(1 + k % 3)))
+        pages.append(f'<div data-main="1">{sentence(k, 8)}<p>{sentence(k, 12)}</p></div>')
+    return pages
 
 
 def potentials(counts):
@@ -271,7 +280,7 @@ def marginals(nodes, model):
     exp, log = math.exp, math.log
     n = len(nodes)
     belief, message = [0.0] * n, [0.0] * n
-    edges = [given.get(node.tag, given[""]) for node in nodes]
+    edges = [given.get(place(node), given[""]) for node in nodes]
     for i in range(n - 1, 0, -1):
         node = nodes[i]
         belief[i] += sum(odds.get(f, 0.0) for f in features(node))
