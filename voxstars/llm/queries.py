@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from voxstars.llm import decontamination, extraction, mixing, resampling, simhash, toxicity, vectors, warc
+from voxstars.llm import decontamination, extraction, mixing, ppm, resampling, simhash, toxicity, vectors, warc
 
 
 def _read(spark, folder, table):
@@ -30,6 +30,11 @@ def op4_simhash_components(spark, folder):
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_ppm_scores(spark, folder):
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
+    return ppm.score(_read(spark, folder, "documents"), F.coalesce(held_out, F.lit(False)))
+
+
 def op6_resample_quality(spark, folder):
     kept = resampling.resample(_read(spark, folder, "documents"), _read(spark, folder, "labels"))
     return kept.select("doc_id", "log_weight", "sample_key")
@@ -61,6 +66,7 @@ QUERIES = {
     "op1_benchmark_passages": op1_benchmark_passages,
     "op2_warc_revisits": op2_warc_revisits,
     "op4_simhash_components": op4_simhash_components,
+    "op5_ppm_scores": op5_ppm_scores,
     "op6_resample_quality": op6_resample_quality,
     "op8_toxic_passages": op8_toxic_passages,
     "op7_mix_sources": op7_mix_sources,
