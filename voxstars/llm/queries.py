@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from voxstars.llm import decontamination, extraction, mixing, ppm, resampling, simhash, toxicity, vectors, warc
+from voxstars.llm import decontamination, extraction, mixing, ppm, repeats, resampling, simhash, toxicity, vectors, warc
 
 
 def _read(spark, folder, table):
@@ -25,6 +25,10 @@ def op2_warc_revisits(spark, folder):
     return read.select(F.col("record_id").alias("page_id"), *columns)
 
 
+def op3_repeated_bytes(spark, folder):
+    return repeats.remove_repeats(_read(spark, folder, "documents"))
+
+
 def op4_simhash_components(spark, folder):
     found = simhash.near_duplicates(_read(spark, folder, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -65,6 +69,7 @@ def op10_main_text(spark, folder):
 QUERIES = {
     "op1_benchmark_passages": op1_benchmark_passages,
     "op2_warc_revisits": op2_warc_revisits,
+    "op3_repeated_bytes": op3_repeated_bytes,
     "op4_simhash_components": op4_simhash_components,
     "op5_ppm_scores": op5_ppm_scores,
     "op6_resample_quality": op6_resample_quality,
