@@ -16,7 +16,6 @@ any labelled rows of either class, every document is kept.
 """
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -45,8 +44,8 @@ def _counted(batches):
     for batch in batches:
         data, offsets = text_bytes(batch.column(0))
         good = batch.column(1).to_numpy(zero_copy_only=False)
-        for a, part, at in slices(LOWER[data], offsets):
-            bins, rows = _grams(part, at)
+        for a, part, at in slices(data, offsets):
+            bins, rows = _grams(LOWER[part], at)
             raw += np.bincount(bins, minlength=BINS)
             target += np.bincount(bins[good[a:][rows]], minlength=BINS)
     seen = np.flatnonzero(raw)
@@ -89,14 +88,14 @@ def weight_column(ratios):
     """A column function from texts to their log weight."""
     table = ratios.astype(np.float64)
 
-    @F.pandas_udf("double")
-    def weigh(texts: pd.Series) -> pd.Series:
-        data, offsets = text_bytes(pa.array(texts, pa.large_string()))
+    @F.arrow_udf("double")
+    def weigh(texts: pa.Array) -> pa.Array:
+        data, offsets = text_bytes(texts)
         out = np.zeros(len(texts))
-        for a, part, at in slices(LOWER[data], offsets):
-            bins, rows = _grams(part, at)
+        for a, part, at in slices(data, offsets):
+            bins, rows = _grams(LOWER[part], at)
             out[a : a + len(at) - 1] = np.bincount(rows, weights=table[bins], minlength=len(at) - 1)
-        return pd.Series(out)
+        return pa.array(out)
 
     return weigh
 
