@@ -152,15 +152,13 @@ def matches(docs, benchmark, error_rate=ERROR_RATE):
 
 def contaminated(items, error_rate=ERROR_RATE):
     """A column function: whether a text holds a passage of one of the items."""
-    import pandas as pd
-
     held = []
 
-    @F.pandas_udf("boolean")
-    def holds(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def holds(texts: pa.Array) -> pa.Array:
         if not held:
             held.append(Matcher(items, error_rate))
-        return pd.Series([t is not None and bool(held[0].find(t.encode())) for t in texts], dtype=bool)
+        return pa.array([t.is_valid and bool(held[0].find(t.as_buffer().to_pybytes())) for t in texts], pa.bool_())
 
     return holds
 

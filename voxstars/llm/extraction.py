@@ -339,12 +339,10 @@ def train(pages, max_pages=MAX_PAGES):
 
 def main_text(pages, model=None):
     """A column of the main text; ``pages`` gives the training sample unless a model is given."""
-    import pandas as pd
-
     model = train(pages) if model is None else model
 
-    @F.pandas_udf("string")
-    def text(column: pd.Series) -> pd.Series:
-        return pd.Series([extract(page or "", model) for page in column], dtype=object)
+    @F.arrow_udf("string")
+    def text(column: pa.Array) -> pa.Array:
+        return pa.array((extract(page.as_py() or "", model) for page in column), pa.string())
 
     return text(F.col("html"))

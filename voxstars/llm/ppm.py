@@ -64,7 +64,8 @@ def _features(order):
         train = ~table.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
         grams, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         known, other = Counter(), set()
-        for a, part, at in slices(LOWER[data], offsets):
+        for a, part, at in slices(data, offsets, 2 << 20):
+            part = LOWER[part]
             keys, first = gram_keys(part, at, order)
             given = np.repeat(train[a : a + len(at) - 1], np.diff(np.r_[first, len(keys)]))
             mine, index = np.unique(keys, return_inverse=True)
@@ -201,7 +202,8 @@ def _scored(order, whole):
         worth = {w: math.log10((c + 0.5) / whole) for w, c in count.items()}
         end, end_known = worth.get(b"", unseen), int(count.get(b"", 0) > 0)
         scores, bases, lengths, known = [], [], [], []
-        for _, part, bounds in slices(LOWER[data], offsets):
+        for _, part, bounds in slices(data, offsets, 2 << 20):
+            part = LOWER[part]
             wanted, first = gram_keys(part, bounds, order)
             scores.append(np.add.reduceat(log_p[np.searchsorted(keys, wanted)], first))
             for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):

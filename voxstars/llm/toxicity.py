@@ -56,8 +56,8 @@ def _counted(batches):
     for batch in batches:
         data, offsets = text_bytes(batch.column(0))
         label = batch.column(1).to_numpy()
-        for a, part, at in slices(LOWER[data], offsets):
-            starts, _, hashes = _tokens(part, at)
+        for a, part, at in slices(data, offsets):
+            starts, _, hashes = _tokens(LOWER[part], at)
             rows = np.tile(rows_of(at, starts), len(hashes))
             hashes = hashes.ravel()
             once = np.unique(mixed(hashes.view(np.uint64) + rows.astype(np.uint64) * PRIME), return_index=True)[1]
@@ -167,8 +167,8 @@ def score_shares(clean, table):
         n = np.zeros(GRID, np.int64)
         for batch in batches:
             data, offsets = text_bytes(batch.column(0))
-            for _, part, at in slices(LOWER[data], offsets):
-                starts, _, hashes = _tokens(part, at)
+            for _, part, at in slices(data, offsets):
+                starts, _, hashes = _tokens(LOWER[part], at)
                 scores = token_scores(hashes, rows_of(at, starts), table)
                 n += np.bincount(np.clip(np.rint(scores / STEP) + GRID // 2, 0, GRID - 1).astype(np.int64), minlength=GRID)
         cells = np.flatnonzero(n)
@@ -187,8 +187,8 @@ def _scanned(table):
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
             counts, spans = [], []
-            for _, part, at in slices(LOWER[data], offsets):
-                starts, ends, hashes = _tokens(part, at)
+            for _, part, at in slices(data, offsets):
+                starts, ends, hashes = _tokens(LOWER[part], at)
                 scores = token_scores(hashes, rows_of(at, starts), table)
                 bounds = np.searchsorted(starts, at)
                 hot = np.r_[0, np.cumsum(scores > 0)]
