@@ -1,0 +1,89 @@
+import itertools
+import math
+
+import pytest
+
+from voxstars.llm import extraction as x
+
+PAGES = "page_id long, url string, html string, text string, n_chars long"
+
+
+@pytest.fixture(scope="module")
+def model():
+    counts = {}
+    for page in x.layouts():
+        nodes = x.parse(page)
+        x.count_page(nodes, x.labels_of(nodes), counts)
+    return x.potentials(counts)
+
+
+def test_messages_equal_summing_over_all_labellings(model):
+    page = "<body><nav><a>one</a></nav><div class=content><p>Some text here.</p><p>x</p></div></body>"
+    nodes = x.parse(page)
+    odds, given = model
+    unary = [0.0] + [sum(odds.get(f, 0.0) for f in x.features(n)) for n in nodes[1:]]
+    weight = [[0.0, 0.0] for _ in nodes]
+    for labels in itertools.product((0, 1), repeat=len(nodes)):
+        w = -20.0 * labels[0]
+        for i in range(1, len(nodes)):
+            on = given.get(x.place(nodes[i]), given[""])[labels[nodes[i].parent]]
+            w += unary[i] * labels[i] + math.log(on if labels[i] else 1 - on)
+        for i, y in enumerate(labels):
+            weight[i][y] += math.exp(w)
+    found = x.marginals(nodes, model)
+    for i in range(1, len(nodes)):
+        assert abs(found[i] - math.log(weight[i][1] / weight[i][0])) < 1e-6
+
+
+def test_other_layouts_than_learnt(model):
+    right = wrong = 0
+    for page in x.layouts()[::2]:
+        nodes = x.parse(page)
+        for node, label, odds in zip(nodes, x.labels_of(nodes), x.marginals(nodes, model)):
+            if node.pieces:
+                right, wrong = right + ((odds > 0) == bool(label)), wrong + ((odds > 0) != bool(label))
+    assert right > 200 * wrong
+
+
+PAGE = (
+    '<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body class="home has-sidebar"><header><h1>Site</h1><nav><a href=/>Home</a>'
+    ' <a href=/b>Blog</a></nav></header><div id="cookie-notice"><p>We use cookies to improve your experience.</p></div><div id=main><div class="post-body">'
+    '<h2>The  title</h2><p>First with <a href=x>a link</a> &amp; more&nbsp;text<br>and &lt;tags&gt;.</p><p>Ok.</p><!-- no --><ul><li>Item one<li>Item two</ul>'
+    "<p>Café <b>bold</b>ly</p></div><div class='sidebar widget'><h3>Recent</h3><ul><li><a>Foo</a></li></ul><p>About the author of this.</p></div>"
+    '<section id="comments"><h3>2 comments</h3><div class="comment"><p>Great article, thanks a lot for it.</p></div></section>'
+    "<form><p>Leave a reply here please.</p><input><button>Send</button></form></div><footer><p>Copyright 2020. All rights reserved.</p></footer>"
+    '<script>var a="</p>";</script></body></html>'
+)
+TEXT = "The title\n\nFirst with a link & more text and <tags>.\n\nOk.\n\nItem one\n\nItem two\n\nCafé boldly"
+
+
+def test_a_page_of_another_build(model):
+    assert x.extract(PAGE, model) == TEXT
+
+
+def test_odd_pages(spark):
+    long = "<body><article>" + "<p>A sentence of some length that repeats.</p>" * 20_000 + "</article></body>"
+    rows = [
+        (1, None, None), (2, "u", ""), (3, "u", PAGE), (None, "u", PAGE), (3, "u", PAGE), (4, "u", long), (5, "u", "<" * 2000),
+        (6, "u", "<script>never ends"), (7, "u", "<div " + 'a="' * 500), (8, "u", "</p></div><!-- open"),
+    ]
+    pages = spark.createDataFrame([(*r, "clash", -1) for r in rows], PAGES)
+    got = pages.select("page_id", x.main_text(pages).alias("t")).collect()
+    texts = {r["page_id"]: r["t"] for r in got}
+    assert len(got) == len(rows) and texts[1] == texts[2] == texts[6] == texts[8] == ""
+    assert texts[3] == texts[None] == TEXT
+    assert texts[4] == "\n\n".join(["A sentence of some length that repeats."] * 20_000)
+    empty = pages.limit(0)
+    assert empty.select(x.main_text(empty)).count() == 0
+
+
+def test_given_pages(spark, folder):
+    """Pages of the tables: every block of the article and nothing else."""
+    import re
+    from html import unescape
+
+    pages = spark.read.parquet(f"{folder}/pages.parquet")
+    for html, text in pages.select("html", x.main_text(pages).alias("t")).collect():
+        article = re.search(r"<article>(.*?)</article>", html, re.S)[1].replace("<br>", " ")
+        blocks = [" ".join(unescape(re.sub(r"</?\w+[^>]*>", "", b)).split()) for b in re.split(r"</?(?:h1|p|div|ul|li)[^>]*>", article)]
+        assert text == "\n\n".join(b for b in blocks if b)

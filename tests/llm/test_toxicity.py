@@ -1,0 +1,94 @@
+import numpy as np
+from helpers import make_docs
+from pyspark.sql import functions as F
+
+from voxstars.llm import toxicity
+
+
+def plain_segments(scores):
+    """All maximal segments by their definition: best segment first, then the same on both sides of it."""
+    best, at = 0.0, None
+    for a in range(len(scores)):
+        total = 0.0
+        for b in range(a, len(scores)):
+            total += scores[b]
+            if total > best + 1e-12:
+                best, at = total, (a, b + 1)
+    if at is None:
+        return []
+    right = [(a + at[1], b + at[1], s) for a, b, s in plain_segments(scores[at[1] :])]
+    return plain_segments(scores[: at[0]]) + [(*at, best)] + right
+
+
+def test_segments_by_definition():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        scores = np.round(rng.normal(-0.3, 1, rng.integers(1, 25)), 3)
+        got = toxicity.maximal_segments(scores)
+        assert [g[:2] for g in got] == [w[:2] for w in plain_segments(scores)]
+        assert np.allclose([g[2] for g in got], [w[2] for w in plain_segments(scores)])
+
+
+def test_lambda_solves_its_equation():
+    scores, shares = np.array([2.0, 0.5, -0.4]), np.array([0.01, 0.04, 0.95])
+    lam = toxicity.solve_lambda(scores, shares)
+    assert lam > 0 and abs((shares * np.exp(lam * scores)).sum() - 1) < 1e-6
+
+
+def corpus(spark, n=900):
+    rng = np.random.default_rng(5)
+    plain, bad = [f"w{i:03d}x" for i in range(150)], ["moron", "scummy", "scumbag", "trashy"]
+    rows, labels = [], []
+    for i in range(n):
+        words = list(rng.choice(plain, rng.integers(8, 60)))
+        toxic = i % 7 == 0
+        if toxic:
+            for _ in range(3):
+                words.insert(int(rng.integers(len(words))), str(rng.choice(bad)))
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    return rows, labels
+
+
+def test_held_out_accuracy_and_spans(spark):
+    rows, labels = corpus(spark)
+    rows += [(2000, None), (2001, ""), (2002, "w001x " * 60_000), (None, "what a moron scumbag moron"), rows[0], rows[0], (2003, "?? !!")]
+    known = spark.createDataFrame([(i, y, -1) for i, y in labels if i % 3], "doc_id long, toxic int, _label int")
+    got = toxicity.score(make_docs(spark, rows), known).collect()
+    assert len(got) == len(rows) and all(0 <= r["score"] <= 1 for r in got)
+    scores, truth = {r["doc_id"]: r["score"] for r in got}, dict(labels)
+    held = [i for i in truth if i % 3 == 0]
+    assert np.mean([(scores[i] >= 0.7) == bool(truth[i]) for i in held]) > 0.97
+    assert scores[2000] == scores[2001] == scores[2003] == min(scores.values())
+    texts = {i: (t or "").encode() for i, t in rows}
+    for r in got:
+        for s in r["segments"]:
+            assert any(w in texts[r["doc_id"]][s["start"] : s["end"]] for w in (b"moron", b"scum", b"trash"))
+
+
+def test_without_labels_or_documents(spark):
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    assert [r["score"] for r in toxicity.score(make_docs(spark, [(1, "a"), (2, None)]), none).collect()] == [0.5, 0.5]
+    one = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
+    assert {r["score"] for r in toxicity.score(make_docs(spark, [(1, "a"), (2, None)]), one).collect()} == {0.0}
+    rows, labels = corpus(spark, 60)
+    known = spark.createDataFrame(labels, "doc_id long, toxic int")
+    assert toxicity.score(make_docs(spark, []), known).count() == 0
+
+
+def test_long_parts_of_words_decide(spark):
+    table = toxicity.lookup_table(*_parts({"mor": 1.0, "moron": 3.0}))
+    data = np.frombuffer(b"moron moronic mor", np.uint8)
+    starts, _, hashes = toxicity._tokens(data, np.array([0, len(data)]))
+    scores = toxicity.token_scores(hashes, np.zeros(len(starts), np.int64), table) + toxicity.DRIFT
+    assert scores.tolist() == [3.0, 3.0, 0.0]
+
+
+def _parts(values):
+    keys, out = [], []
+    for word, value in values.items():
+        data = np.frombuffer(word.encode(), np.uint8)
+        if len(word) in toxicity.BEGINNINGS:
+            keys.append(toxicity.token_hashes(data, np.array([0]), np.array([len(word)])).view(np.int64)[0])
+            out.append(value)
+    return np.array(keys, np.int64), np.array(out)

@@ -1,0 +1,56 @@
+import numpy as np
+import pytest
+from oracle import compare, connect
+from pyspark.sql import functions as F
+
+from voxstars.llm import queries, vectors
+
+SCHEMA = "vec_id long, embedding array<float>, rank int, score double, v string"
+
+
+def brute(rows, k):
+    fine = {}
+    for i, v in rows:
+        if i is None or v is None or not len(v) or any(x is None or not np.isfinite(x) for x in v) or not any(v):
+            continue
+        fine.setdefault(i, np.array(v, np.float32).astype(float))
+    out = []
+    for q, x in fine.items():
+        if q % 50 == 0:
+            near = [
+                (-float((x * y).sum() / (np.sqrt((x * x).sum()) * np.sqrt((y * y).sum()))), i)
+                for i, y in fine.items() if i != q and len(y) == len(x)
+            ]
+            out += [(q, rank, i, -s) for rank, (s, i) in enumerate(sorted(near)[:k], 1)]
+    return sorted(out)
+
+
+def check(spark, rows, **sizes):
+    df = spark.createDataFrame([(i, v, 1, 1.0, "x") for i, v in rows], SCHEMA)
+    got = sorted(map(tuple, vectors.nearest(df, F.expr("vec_id % 50 = 0"), **sizes).collect()))
+    want = brute(rows, 5)
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert np.allclose([g[3] for g in got], [w[3] for w in want], atol=1e-12)
+
+
+def test_ties_copies_and_odd_vectors(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.normal(size=12).tolist()) for i in range(400)]
+    hot = rng.normal(size=12).tolist()
+    rows += [(i, hot) for i in range(400, 700)]
+    rows += [(1001, None), (1050, [0.0] * 12), (1002, [float("nan")] + [1.0] * 11), (1003, [None] + [1.0] * 11), (1004, []),
+             (1100, [float("inf")] * 12), (None, hot), (1150, [1.0, 2.0]), (1005, [3e38] * 12), (1200, [1e-30] * 12)]
+    rows += rows[:3]  # repeated rows
+    check(spark, rows, group_rows=100, block_rows=4)
+
+
+def test_few_rows_and_none(spark):
+    check(spark, [(0, [1.0, 0.0]), (1, [0.0, 1.0])])
+    check(spark, [(0, [1.0, 0.0])])
+    check(spark, [])
+
+
+@pytest.mark.parametrize("name", ["op9_nearest_vectors"])
+def test_equals_sql(spark, folder, name):
+    con = connect(folder)
+    assert compare(queries.QUERIES[name](spark, folder), con, queries.ORACLE[name]) is None

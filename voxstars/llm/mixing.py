@@ -174,11 +174,17 @@ def block_texts(docs, weights=(1, 2, 3), limit=3, block_words=128, shard_slots=4
     words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))
     sizes = docs.select("doc_id", "source", words.alias("tokens")).withColumn("size", F.size("tokens").cast("long"))
     sources = stage(quotas(targets(sizes.select("source", "size"), weights, limit), block_words))
-    placed = streams(sizes, sources)
-    cut = pieces(placed, block_words).select(
-        "number", "block", "start",
-        F.expr(f"slice(tokens, CAST(greatest(start, block * {block_words}) - start + 1 AS INT), CAST(words AS INT))").alias("part"),
-    )
-    joined = F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("start", "part"))), lambda x: x["part"])), " ")
+    placed = streams(sizes, sources).filter("size > 0")
+    blocks = F.expr(f"sequence(start div {block_words}, (start + size - 1) div {block_words})")
+
+    def part(block):
+        first = F.greatest(F.col("start"), block * block_words)
+        last = F.least(F.col("start") + F.col("size"), (block + 1) * block_words)
+        inside = F.slice("tokens", (first - F.col("start") + 1).cast("int"), (last - first).cast("int"))
+        return F.struct(block.alias("block"), F.array_join(inside, " ").alias("part"))
+
+    # Parts are cut before rows are multiplied, so a long document is not copied once a block.
+    cut = placed.select("number", "start", F.inline(F.transform(blocks, part)))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "part"))), lambda x: x["part"]), " ")
     texts = cut.groupBy("number", "block").agg(joined.alias("text"))
     return plan_mix(spark, sources, shard_slots, seed).join(texts, ["number", "block"]).select("shard", "slot", "number", "block", "text")
