@@ -76,3 +76,14 @@ def test_kept_text_and_empty_table(spark):
     df = repeats.remove_repeats(make_docs(spark, [(1, passage), (2, "tête " + passage + " fin")]), carry=("doc_id", "text", "lang"))
     assert {r["doc_id"]: (r["text"], r["lang"]) for r in df.collect()} == {1: (passage, "en"), 2: ("tête  fin", "en")}
     assert repeats.remove_repeats(make_docs(spark, [])).count() == 0
+
+
+def test_order_of_rows_does_not_matter(spark):
+    """A block larger than one step, its rows in another order each time."""
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcdef ") for _ in range(n))
+    shared = [text(300) for _ in range(20)]
+    rows = [(i, text(700) + rng.choice(shared) + text(900) + rng.choice(shared)) for i in range(1500)]
+    df = make_docs(spark, rows).repartition(13, "text")
+    got = sorted(map(tuple, repeats.remove_repeats(df).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()), key=str)
+    assert got == brute(rows, 50)

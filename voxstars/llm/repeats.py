@@ -100,14 +100,16 @@ def _code(anchors, buckets):
 
 
 def _block(table):
+    """A block's rows in an order of their own: shuffles deliver them in any, and runs are cut by place."""
+    table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
     data, offsets = text_bytes(table.column("text"))
-    return data, offsets, pc.fill_null(table.column("doc_id"), LAST).to_numpy()
+    return table, data, offsets, pc.fill_null(table.column("doc_id"), LAST).to_numpy()
 
 
 def _anchors(buckets):
     def run(table):
         block = table.column("block")[0].as_py()
-        data, offsets, _ = _block(table)
+        _, data, offsets, _ = _block(table)
         first, _, anchors, _ = runs(data, offsets)
         codes, rows = _code(anchors, buckets), np.searchsorted(offsets, first, "right")
         order = np.argsort(codes, kind="stable")
@@ -226,7 +228,7 @@ def _segments(buckets, length):
         if not len(known) or not len(texts):
             return _table([], SEGMENTS)
         block = texts.column("block")[0].as_py()
-        data, offsets, doc_ids = _block(texts)
+        _, data, offsets, doc_ids = _block(texts)
         place, count, keys, ids, rows = shared_segments(data, offsets, known, buckets, length)
         at = _once(ids, doc_ids[rows])
         part = (mixed(keys[at]) & np.uint64(buckets - 1)).astype(np.int64)
@@ -418,7 +420,7 @@ def covered(data, offsets, doc_ids, known, buckets, length=LENGTH):
 
 def _removed(buckets, length, names, text_too):
     def run(texts, known):
-        data, offsets, doc_ids = _block(texts)
+        texts, data, offsets, doc_ids = _block(texts)
         cut = covered(data, offsets, doc_ids, known, buckets, length) if len(known) else np.zeros(len(data), bool)
         rows, kept_texts = [], []
         for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
