@@ -100,8 +100,8 @@ def weight_column(ratios):
     return weigh
 
 
-def best_split(rows):
-    """The weight at which the two labels are best told apart, both classes counting alike."""
+def best_split(rows, care=4.0):
+    """The weight that best tells the two labels apart; a share of good rows lost counts ``care`` times."""
     low, high = rows.agg(F.min("weight"), F.max("weight")).first()
     if low is None or low == high:
         return None
@@ -112,8 +112,8 @@ def best_split(rows):
     bad[counts["cell"]] = counts["n"] - counts["good"]
     if not good.sum() or not bad.sum():
         return None
-    # Share of bad rows below each edge, less the share of good rows below it; the middle of the best run.
-    gain = np.r_[0, np.cumsum(bad) / bad.sum() - np.cumsum(good) / good.sum()]
+    # Share of bad rows below each edge, less that of good rows; the middle of the best run.
+    gain = np.r_[0, np.cumsum(bad) / bad.sum() - care * np.cumsum(good) / good.sum()]
     best = np.flatnonzero(gain >= gain.max() - 1e-12)
     return low + (high - low) * (best[0] + best[-1]) / 2 / 4096
 
