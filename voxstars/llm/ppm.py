@@ -9,8 +9,9 @@ the counts fixed, the code length of a byte depends on its context alone, so eac
 byte) of the corpus is evaluated once, next to all contexts that end alike, and sent to the chunks
 of documents that need it. Neither the trie nor the vocabulary is ever held by one task.
 
-Documents are dealt into chunks of about ``chunk_bytes``; a task holds one chunk's texts and the
-distinct contexts and words in it.
+Every task passes on the counts of its distinct contexts and words, packed by bucket (a hash of
+them); buckets are summed. Documents are dealt into chunks of about ``chunk_bytes``; a task holds
+one chunk's texts and the distinct contexts and words in it.
 
 Cases: a null text is empty: its end sign is all there is to score; without any training document
 every byte is equally likely; repeated rows are scored alike and counted as often as they occur.
@@ -22,17 +23,19 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from voxstars.llm.texts import LOWER, slices, text_bytes
+from voxstars.llm.texts import LOWER, mixed, slices, text_bytes, token_hashes
 from voxstars.sources.staging import stage
 
 ORDER = 5
 START, END = 0xFF, 0xFE  # never part of UTF-8
 ALPHABET = 243 + 1  # bytes that UTF-8 has, and the end
-FEATURES = "chunk int, gram long, word string, n long"
-SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+SLICE = 2 << 20
+MOST = 2_000_000  # distinct (context, byte) or words that a task counts before it passes them on
+COUNTS = "bucket int, grams binary, counts binary, words binary, word_counts binary, texts long"
+WANTED = "chunk int, bucket int, grams binary, words binary"
+ANSWERS = "chunk int, grams binary, log_p binary, words binary, word_counts binary"
 
 
 def gram_keys(data, offsets, order):
@@ -57,38 +60,118 @@ def gram_keys(data, offsets, order):
     return keys, np.r_[0, np.cumsum(n + 1)[:-1]]
 
 
-def _features(order):
+def _distinct(parts, order):
+    """Distinct keys of several slices and how often training texts have them."""
+    keys, n = (np.concatenate(x) for x in zip(*parts))
+    keys, at = np.unique(keys, return_inverse=True)
+    return keys, np.bincount(at, weights=n, minlength=len(keys)).astype(np.int64)
+
+
+def _bucket(keys, buckets):
+    return (mixed(keys.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _word_buckets(words, buckets):
+    data = np.frombuffer(b"".join(words), np.uint8)
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    end = np.cumsum(size)
+    out = np.zeros(len(words), np.int64)
+    a = 0
+    while a < len(words):  # in runs of bounded length
+        b = max(a + 1, int(np.searchsorted(end, end[a] + SLICE)))
+        low = end[a] - size[a]
+        hashes = token_hashes(data[low : end[b - 1]], end[a:b] - size[a:b] - low, end[a:b] - low)
+        out[a:b] = (hashes % np.uint64(buckets)).astype(np.int64)
+        a = b
+    return out
+
+
+def _by_bucket(keys, counts, words, word_counts, buckets):
+    """(bucket, keys, counts, words, word counts) as bytes, for every bucket that has any."""
+    cell = _bucket(keys, buckets)
+    order = np.lexsort((keys, cell))
+    keys, counts, bounds = keys[order], counts[order], np.searchsorted(cell[order], np.arange(buckets + 1))
+    word_cell = _word_buckets(words, buckets) if words else np.zeros(0, np.int64)
+    word_order = np.argsort(word_cell, kind="stable")
+    word_bounds = np.searchsorted(word_cell[word_order], np.arange(buckets + 1))
+    for bucket in range(buckets):
+        mine = word_order[word_bounds[bucket] : word_bounds[bucket + 1]]
+        lo, hi = bounds[bucket], bounds[bucket + 1]
+        if hi > lo or len(mine):
+            held = b" ".join([words[i] for i in mine.tolist()])
+            yield bucket, keys[lo:hi].tobytes(), counts[lo:hi].astype(np.uint32).tobytes(), held, word_counts[mine].astype(np.uint32).tobytes()
+
+
+def _table(rows, schema):
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    columns = list(zip(*rows)) or [[]] * len(fields)
+    return pa.table({name: pa.array(c, kinds[kind]) for (name, kind), c in zip(fields, columns)})
+
+
+def _counted(order, buckets):
+    """What a task's training texts hold, and with count 0 what only its other texts hold."""
+
+    def run(batches):
+        parts, known, other, texts = [], Counter(), set(), 0
+
+        def flush():
+            nonlocal texts
+            if not parts:
+                return
+            keys, n = _distinct(parts, order)
+            words = [*known, *(w for w in other if w not in known)]
+            counts = np.r_[np.fromiter(known.values(), np.int64, len(known)), np.zeros(len(words) - len(known), np.int64)]
+            rows = [(*row, 0) for row in _by_bucket(keys, n, words, counts, buckets)] + [(0, b"", b"", b"", b"", texts)]
+            parts.clear(), known.clear(), other.clear()
+            texts = 0
+            yield from _table(rows, COUNTS).to_batches()
+
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(0))
+            train = ~batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            texts += int(train.sum())
+            for a, part, at in slices(data, offsets, SLICE):
+                part = LOWER[part]
+                keys, first = gram_keys(part, at, order)
+                given = np.repeat(train[a : a + len(at) - 1], np.diff(np.r_[first, len(keys)]))
+                parts.append(_distinct([(keys, given)], order))
+                for i, (lo, hi) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
+                    words = part[lo:hi].tobytes().split()
+                    known.update(words) if train[a + i] else other.update(words)
+                if len(parts) >= 8:
+                    parts[:] = [_distinct(parts, order)]
+                if len(parts[0][0]) > MOST or len(known) + len(other) > MOST:
+                    yield from flush()
+        yield from flush()
+
+    return run
+
+
+def _split(words):
+    return words.split(b" ") if words else []
+
+
+def _totals(order):
+    """Sums of one bucket: a row per (context, byte) and per word; the end of texts is the empty word."""
+
     def run(table):
-        chunk = table.column("chunk")[0].as_py()
-        data, offsets = text_bytes(table.column("text"))
-        train = ~table.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
-        grams, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        known, other = Counter(), set()
-        for a, part, at in slices(data, offsets, 2 << 20):
-            part = LOWER[part]
-            keys, first = gram_keys(part, at, order)
-            given = np.repeat(train[a : a + len(at) - 1], np.diff(np.r_[first, len(keys)]))
-            mine, index = np.unique(keys, return_inverse=True)
-            n = np.bincount(index, weights=given, minlength=len(mine)).astype(np.int64)
-            both, index = np.unique(np.r_[grams, mine], return_inverse=True)
-            counts = np.bincount(index, weights=np.r_[counts, n], minlength=len(both)).astype(np.int64)
-            grams = both
-            for i, (lo, hi) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
-                words = part[lo:hi].tobytes().split()
-                if train[a + i]:
-                    known.update(words)
-                else:
-                    other.update(words)
-        known[b""] = int(train.sum())
-        rest = [w for w in other if w not in known]
-        words = pa.array([*known, *rest], pa.binary()).cast(pa.string())
+        bucket = table.column("bucket")[0].as_py()
+        load = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in table.column(c).to_pylist()])
+        keys, n = _distinct([(load("grams", np.int64), load("counts", np.uint32))], order)
+        words = Counter()
+        for held, counts in zip(table.column("words").to_pylist(), table.column("word_counts").to_pylist()):
+            for word, count in zip(_split(held), np.frombuffer(counts, np.uint32).tolist()):
+                words[word] += count
+        texts = sum(table.column("texts").to_pylist())
+        if texts:
+            words[b""] = texts
         none = pa.nulls(len(words), pa.int64())
-        n = np.r_[counts, np.fromiter(known.values(), np.int64, len(known)), np.zeros(len(rest), np.int64)]
         return pa.table({
-            "chunk": pa.array(np.full(len(n), chunk, np.int32)),
-            "gram": pa.chunked_array([pa.array(grams), none]),
-            "word": pa.chunked_array([pa.nulls(len(grams), pa.string()), words]),
-            "n": pa.array(n),
+            "bucket": pa.array(np.full(len(keys) + len(words), bucket, np.int32)),
+            "gram": pa.chunked_array([pa.array(keys), none]),
+            "word": pa.chunked_array([pa.nulls(len(keys), pa.string()), pa.array(list(words), pa.binary()).cast(pa.string())]),
+            "n": pa.array(np.r_[n, np.fromiter(words.values(), np.int64, len(words))]),
         })
 
     return run
@@ -151,72 +234,117 @@ def evaluate(keys, n, pairs, singles, order):
     return log_p
 
 
-def _evaluated(pairs, singles, order):
+def _evaluated(pairs, singles, order, buckets):
     def run(table):
         keys, n = table.column("gram").to_numpy(), table.column("n").to_numpy()
-        return pa.table({"gram": keys, "log_p": evaluate(keys, n, pairs, singles, order)})
+        cells = _bucket(keys, buckets).astype(np.int32)
+        return pa.table({"bucket": cells, "gram": keys, "log_p": evaluate(keys, n, pairs, singles, order)})
 
     return run
 
 
-def score(docs, held_out, order=ORDER, chunk_bytes=16 << 20):
-    """Scores of every document by a model of those for which ``held_out`` (a column) is false.
+def _wanted(order, buckets):
+    """The distinct (context, byte) and words of a chunk, by bucket."""
 
-    ``score`` is log10 of the model's probability of the text and its end, ``base_score`` that of the
-    words and the end under smoothed word counts.
-    """
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = max(1, -(-size // chunk_bytes))
-    chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk")
-    texts = docs.select(chunk, F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    features = stage(texts.groupBy("chunk").applyInArrow(_features(order), FEATURES))
+    def run(table):
+        chunk = table.column("chunk")[0].as_py()
+        data, offsets = text_bytes(table.column("text"))
+        keys, words = np.zeros(0, np.int64), set()
+        for _, part, at in slices(data, offsets, SLICE):
+            part = LOWER[part]
+            keys = np.union1d(keys, gram_keys(part, at, order)[0])
+            for lo, hi in zip(at[:-1].tolist(), at[1:].tolist()):
+                words.update(part[lo:hi].tobytes().split())
+        words = list(words)
+        rows = _by_bucket(keys, np.zeros(len(keys), np.int64), words, np.zeros(len(words), np.int64), buckets)
+        return _table([(chunk, bucket, grams, held) for bucket, grams, _, held, _ in rows], WANTED)
 
-    grams = features.filter("gram IS NOT NULL").select("chunk", "gram", "n")
-    totals = stage(grams.groupBy("gram").agg(F.sum("n").alias("n")))
-    pairs, singles = low_orders(totals, order)
-    alike = F.shiftright("gram", 8 * (order - 1))
-    valued = totals.groupBy(alike.alias("ending")).applyInArrow(_evaluated(pairs, singles, order), "gram long, log_p double")
-    gram_values = grams.select("chunk", "gram").join(valued, "gram").select("chunk", "gram", F.lit(None).cast("string").alias("word"), F.col("log_p").alias("value"))
+    return run
 
-    words = features.filter("word IS NOT NULL").select("chunk", "word", "n")
-    tokens, vocabulary = words.filter("n > 0").agg(F.sum("n"), F.countDistinct("word")).first()
-    tokens = tokens or 0
-    counted = F.sum("n").over(Window.partitionBy("word")).cast("double")
-    word_values = words.select("chunk", F.lit(None).cast("long").alias("gram"), "word", counted.alias("value"))
 
-    scorer = _scored(order, tokens + 0.5 * (vocabulary + 1))
-    scored = texts.groupBy("chunk").cogroup(gram_values.unionByName(word_values).groupBy("chunk")).applyInArrow(scorer, SCORES)
-    return scored.withColumn("train_tokens", F.lit(tokens).cast("long"))
+def _answered(wanted, values):
+    """Adds to each chunk's wishes of a bucket the log probabilities and the word counts."""
+    grams = values.filter(pc.is_valid(values.column("gram")))
+    words = values.filter(pc.is_null(values.column("gram")))
+    keys, log_p = grams.column("gram").to_numpy(), grams.column("value").to_numpy()
+    order = np.argsort(keys)
+    keys, log_p = keys[order], log_p[order]
+    count = dict(zip(words.column("word").cast(pa.binary()).to_pylist(), words.column("value").to_pylist()))
+    rows = []
+    for chunk, held_keys, held_words in zip(*(wanted.column(c).to_pylist() for c in ("chunk", "grams", "words"))):
+        mine = np.frombuffer(held_keys, np.int64)
+        values_ = log_p[np.searchsorted(keys, mine)] if len(mine) else np.zeros(0)
+        counts = np.array([count[w] for w in _split(held_words)], np.float64)
+        rows.append((chunk, held_keys, values_.tobytes(), held_words, counts.tobytes()))
+    return _table(rows, ANSWERS)
 
 
-def _scored(order, whole):
-    def run(texts, values):
+def _scored(order):
+    def run(texts, answers):
         data, offsets = text_bytes(texts.column("text"))
-        grams = values.filter(pc.is_valid(values.column("gram")))
-        keys, log_p = grams.column("gram").to_numpy(), grams.column("value").to_numpy()
+        load = lambda c, kind: np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in answers.column(c).to_pylist())])
+        keys, log_p = load("grams", np.int64), load("log_p", np.float64)
         at = np.argsort(keys)
         keys, log_p = keys[at], log_p[at]
-        rest = values.filter(pc.is_null(values.column("gram")))
-        count = dict(zip(rest.column("word").cast(pa.binary()).to_pylist(), rest.column("value").to_pylist()))
-        unseen = math.log10(0.5 / whole) if whole else 0.0
-        worth = {w: math.log10((c + 0.5) / whole) for w, c in count.items()}
-        end, end_known = worth.get(b"", unseen), int(count.get(b"", 0) > 0)
-        scores, bases, lengths, known = [], [], [], []
-        for _, part, bounds in slices(data, offsets, 2 << 20):
+        words = [w for held in answers.column("words").to_pylist() for w in _split(held)]
+        counts = load("word_counts", np.float64)
+        worth, known = dict(zip(words, np.log10(counts + 0.5).tolist())), math.log10(0.75)
+        scores, bases, lengths, seen = [], [], [], []
+        for _, part, bounds in slices(data, offsets, SLICE):
             part = LOWER[part]
             wanted, first = gram_keys(part, bounds, order)
             scores.append(np.add.reduceat(log_p[np.searchsorted(keys, wanted)], first))
             for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                words = part[lo:hi].tobytes().split()
-                values_ = np.fromiter(map(worth.__getitem__, words), float, len(words))
-                bases.append(float(values_.sum()) + end)
-                lengths.append(len(words) + 1)
-                known.append(int((values_ > unseen).sum()) + end_known)
+                own = part[lo:hi].tobytes().split()
+                values_ = np.fromiter(map(worth.__getitem__, own), float, len(own))
+                bases.append(float(values_.sum()))
+                lengths.append(len(own))
+                seen.append(int((values_ > known).sum()))
         return pa.table({
             "doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"),
-            "n_tokens": pa.array(lengths, pa.int64()), "n_known": pa.array(known, pa.int64()),
-            "base_score": pa.array(bases, pa.float64()),
+            "words": pa.array(lengths, pa.int64()), "known": pa.array(seen, pa.int64()), "worth": pa.array(bases, pa.float64()),
             "score": pa.array(np.concatenate(scores) if scores else np.zeros(0)),
         })
 
     return run
+
+
+def score(docs, held_out, order=ORDER, chunk_bytes=16 << 20):
+    """Scores of every document by a model of those for which ``held_out`` (a column) is false.
+
+    ``score`` is log10 of the model's probability of the text and its end, ``base_score`` that of the
+    words and the end under smoothed word counts.
+    """
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    chunks, buckets = max(1, -(-size // chunk_bytes)), 64
+    while buckets < 16_384 and buckets * chunk_bytes < size:
+        buckets *= 2
+    chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk")
+    texts = docs.select(chunk, F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
+
+    counts = texts.select("text", "held_out").mapInArrow(_counted(order, buckets), COUNTS)
+    totals = stage(counts.groupBy("bucket").applyInArrow(_totals(order), "bucket int, gram long, word string, n long"))
+    grams, words = totals.filter("gram IS NOT NULL"), totals.filter("gram IS NULL")
+    pairs, singles = low_orders(grams, order)
+    tokens, types, ends = words.agg(
+        F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1)), F.coalesce(F.sum(F.when(F.col("word") == "", F.col("n"))), F.lit(0))
+    ).first()
+    alike = F.shiftright("gram", 8 * (order - 1)).alias("ending")
+    valued = grams.select(alike, "gram", "n").groupBy("ending").applyInArrow(_evaluated(pairs, singles, order, buckets), "bucket int, gram long, log_p double")
+    values = valued.select("bucket", "gram", F.lit(None).cast("string").alias("word"), F.col("log_p").alias("value")).unionByName(
+        words.select("bucket", "gram", "word", F.col("n").cast("double").alias("value"))
+    )
+    wanted = texts.groupBy("chunk").applyInArrow(_wanted(order, buckets), WANTED)
+    answers = wanted.groupBy("bucket").cogroup(values.groupBy("bucket")).applyInArrow(_answered, ANSWERS)
+    scored = texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
+        _scored(order), "doc_id long, held_out boolean, words long, known long, worth double, score double"
+    )
+    whole = math.log10(tokens + 0.5 * (types + 1))
+    n_tokens = F.col("words") + 1
+    return scored.select(
+        "doc_id", "held_out", n_tokens.alias("n_tokens"),
+        (F.col("known") + F.lit(int(ends > 0))).alias("n_known"),
+        F.lit(tokens).cast("long").alias("train_tokens"),
+        (F.col("worth") + F.lit(math.log10(ends + 0.5)) - n_tokens * F.lit(whole)).alias("base_score"),
+        "score",
+    )
