@@ -1,9 +1,7 @@
 import numpy as np
-import pytest
-from oracle import compare, connect
 from pyspark.sql import functions as F
 
-from voxstars.llm import queries, vectors
+from voxstars.llm import vectors
 
 SCHEMA = "vec_id long, embedding array<float>, rank int, score double, v string"
 
@@ -48,9 +46,3 @@ def test_few_rows_and_none(spark):
     check(spark, [(0, [1.0, 0.0]), (1, [0.0, 1.0])])
     check(spark, [(0, [1.0, 0.0])])
     check(spark, [])
-
-
-@pytest.mark.parametrize("name", ["op9_nearest_vectors"])
-def test_equals_sql(spark, folder, name):
-    con = connect(folder)
-    assert compare(queries.QUERIES[name](spark, folder), con, queries.ORACLE[name]) is None

@@ -80,6 +80,19 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op2_warc_revisits": """
+WITH p AS (
+    SELECT page_id, coalesce(html, '') AS body FROM pages
+), h AS (
+    SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS hexed, min(page_id) OVER (PARTITION BY body) AS first_id FROM p
+)
+SELECT page_id, payload_bytes,
+    list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+        (CAST('0x' || substr(hexed, 1 + 10 * (i // 8), 10) AS BIGINT) >> (35 - 5 * (i % 8))) & 31 AS INTEGER), 1)), 'string_agg', '')
+        AS payload_digest,
+    CASE WHEN first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN first_id <> page_id THEN first_id END AS refers_to
+FROM h""",
     "op9_nearest_vectors": """
 WITH v AS (
     SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
