@@ -58,7 +58,7 @@ def quotas(sources, block_words):
     return rows.withColumn("quota", F.col("whole") * F.col("blocks") + F.least("blocks", rest)).drop("whole")
 
 
-def streams(sizes, sources, chunk_rows=50_000):
+def streams(sizes, sources, chunk_rows=4096):
     """The place of each document's first word in its source's stream.
 
     Running sums are taken within chunks of documents and then over the chunks, so that no task has
