@@ -74,20 +74,19 @@ _powers = {}
 
 
 def _power_tables(n):
-    size = max(SLICE + 1, n)
-    if _powers.get("size", 0) < size:
+    """Powers of the prime and of its inverse; tables beyond the usual size are not kept."""
+    size = max(2 * SLICE + 1, n)
+    if size > _powers.get("size", 0):
         up, down = np.full(size, PRIME), np.full(size, INVERSE)
         up[0] = down[0] = 1
-        _powers.update(size=size, up=np.cumprod(up), down=np.cumprod(down))
-        if size > SLICE + 1:
-            tables = _powers["up"], _powers["down"]
-            _powers.clear()  # a very long text's tables are not kept
-            return tables
+        up, down = np.cumprod(up), np.cumprod(down)
+        if size > 2 * SLICE + 1:
+            return up, down
+        _powers.update(size=size, up=up, down=down)
     return _powers["up"], _powers["down"]
 
 
-def token_hashes(data, starts, ends):
-    """A 64-bit hash of each token's bytes: differences of one running polynomial, moved to power 0."""
+def _hashes(data, starts, ends):
     up, down = _power_tables(len(data) + 1)
     total = np.empty(len(data) + 1, np.uint64)
     total[0] = 0
@@ -95,6 +94,22 @@ def token_hashes(data, starts, ends):
     return mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def token_hashes(data, starts, ends):
+    """A 64-bit hash of each token's bytes: differences of one running polynomial, moved to power 0.
+
+    Starts and ends ascend. Long texts are taken in parts, so memory follows the longest token only.
+    """
+    if len(data) <= 2 * SLICE:
+        return _hashes(data, starts, ends)
+    out, i = np.empty(len(starts), np.uint64), 0
+    while i < len(starts):
+        low = starts[i]
+        j = max(i + 1, int(np.searchsorted(ends, low + SLICE, "right")))
+        out[i:j] = _hashes(data[low : ends[j - 1]], starts[i:j] - low, ends[i:j] - low)
+        i = j
+    return out
+
+
 def rows_of(offsets, starts):
     """The text that each token is in."""
     return np.searchsorted(offsets, starts, "right") - 1
