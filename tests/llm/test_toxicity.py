@@ -1,6 +1,5 @@
 import numpy as np
 from helpers import make_docs
-from pyspark.sql import functions as F
 
 from voxstars.llm import toxicity
 

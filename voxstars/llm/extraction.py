@@ -50,7 +50,6 @@ TOKEN = re.compile(
 )
 NAMED = re.compile(r"(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 LABEL = re.compile(r"data-main\s*=\s*[\"']?([01])")
-WORDS = re.compile(r"[A-Za-z]+")
 
 
 class Node:

@@ -3,11 +3,12 @@
 Training compares the words, and the beginnings of words, of documents labelled toxic with those of
 the others. Each one's log-odds ratio is smoothed by a Dirichlet prior in proportion to its share of
 all labelled text; those whose ratio is large against its standard error are kept. A token scores
-the ratio of its longest known part, else zero, less a small constant. One scan finds every maximal-scoring segment of a text. A segment of score S in n tokens
-is calibrated by extreme-value statistics: E = K n exp(-lambda S) segments as good are expected in
-clean text, where lambda solves sum p exp(lambda s) = 1 over the clean token distribution and K fits
-clean documents. The significances -ln E of a document's segments are added and a logistic curve of the
-sum's logarithm, fitted on a fold that gave no log-odds, gives the score.
+the ratio of its longest known part, else zero, less a small constant. One scan finds every
+maximal-scoring segment of a text. A segment of score S in n tokens is calibrated by extreme-value
+statistics: E = K n exp(-lambda S) segments as good are expected in clean text, where lambda solves
+sum p exp(lambda s) = 1 over the clean token distribution and K fits clean documents. The
+significances -ln E of a document's segments are added, and a logistic curve of the sum's logarithm,
+fitted on a fold that gave no log-odds, gives the score.
 
 Bounds: about ``max_labelled`` labelled rows, whose ids are broadcast, and ``max_tokens`` tokens in
 the table of log-odds, those with the largest standardised ratio. Every document is scored whole.
@@ -130,22 +131,24 @@ def maximal_segments(scores):
     """Every maximal-scoring segment (Ruzzo and Tompa): [start, end, score] lists in order.
 
     Only positive scores can begin or end a segment, so the loop runs over these; each new piece is
-    merged with earlier ones for as long as that makes a better segment.
+    merged with earlier ones for as long as that makes a better segment. Links to the segments that
+    begin lower keep the scan linear.
     """
     total = np.r_[0.0, np.cumsum(scores)]
-    held = []  # start, end, sum before, sum after
+    held = []  # start, end, sum before, sum after, last earlier segment that begins lower
     for i in np.flatnonzero(scores > 0).tolist():
         start, end, left, right = i, i + 1, total[i], total[i + 1]
+        j = len(held) - 1
         while True:
-            j = len(held) - 1
             while j >= 0 and held[j][2] >= left:
-                j -= 1
+                j = held[j][4]
             if j < 0 or held[j][3] >= right:
                 break
-            start, left = held[j][0], held[j][2]
+            start, _, left, _, lower = held[j]
             del held[j:]
-        held.append((start, end, left, right))
-    return [(s, e, r - lo) for s, e, lo, r in held]
+            j = lower
+        held.append((start, end, left, right, j))
+    return [(s, e, r - lo) for s, e, lo, r, _ in held]
 
 
 def solve_lambda(scores, shares):
