@@ -48,7 +48,7 @@ def op8_toxic_passages(spark, folder):
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
     labels = _read(spark, folder, "labels").filter(fold != 1)
     scored = toxicity.score(_read(spark, folder, "documents"), labels)
-    return scored.select("doc_id", (fold == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "segments")
+    return scored.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "segments")
 
 
 def op7_mix_sources(spark, folder):
