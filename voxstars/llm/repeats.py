@@ -29,7 +29,7 @@ from voxstars.llm.texts import PRIME, mixed, text_bytes, token_hashes
 LENGTH = 50
 GRAM = 20
 HOT = 4096
-STEP = 2 << 20
+STEP = 1 << 20
 LAST = np.iinfo(np.int64).max
 ANCHORS = "bucket int, block int, once binary, twice binary, counts binary"
 REPEATED = "block int, bucket int, some binary, hot binary, ids binary, masks binary"
@@ -73,7 +73,7 @@ def runs(data, offsets, length=LENGTH, gram=GRAM):
     edge = np.zeros(n + 1, np.int32)
     np.add.at(edge, np.maximum(starts, ends - length + 1), 1)
     np.add.at(edge, ends, -1)
-    whole = np.cumsum(edge[:n]) == 0  # strings that end within their text
+    whole = np.cumsum(edge[:n], dtype=np.int32) == 0  # strings that end within their text
     out = []
     for a in range(0, n, STEP):
         part = data[a : a + STEP + length - 1]
@@ -397,7 +397,7 @@ def covered(data, offsets, doc_ids, known, buckets, length=LENGTH):
     gone = np.zeros(n + 1, np.int32)
     np.add.at(gone, place[whole], 1)
     np.add.at(gone, (place + count)[whole], -1)
-    gone = np.cumsum(gone[:n]) > 0
+    gone = np.cumsum(gone[:n], dtype=np.int32) > 0
     # Masks of the segments' first documents; a distinct segment's bits start at a whole byte.
     sent = [(i, m) for i, m in zip(known.column("ids").to_pylist(), known.column("masks").to_pylist()) if i]
     if sent:
@@ -415,7 +415,7 @@ def covered(data, offsets, doc_ids, known, buckets, length=LENGTH):
     at = np.flatnonzero(gone)
     edge[at] += 1
     edge[at + length] -= 1
-    return np.cumsum(edge[:n]) > 0
+    return np.cumsum(edge[:n], dtype=np.int32) > 0
 
 
 def _removed(buckets, length, names, text_too):
@@ -439,7 +439,7 @@ def _removed(buckets, length, names, text_too):
     return run
 
 
-def remove_repeats(docs, length=LENGTH, block_bytes=8 << 20, batch_bytes=2 << 20, hot=HOT, carry=("doc_id",)):
+def remove_repeats(docs, length=LENGTH, block_bytes=4 << 20, batch_bytes=1 << 20, hot=HOT, carry=("doc_id",)):
     """Byte counts, spans and digest of what is kept of every row, with the columns in ``carry``.
 
     With ``text`` among them, it is the kept text.
