@@ -21,6 +21,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import functions as F
@@ -135,7 +136,8 @@ def _counted(order, buckets):
                 part = LOWER[part]
                 keys, first = gram_keys(part, at, order)
                 given = np.repeat(train[a : a + len(at) - 1], np.diff(np.r_[first, len(keys)]))
-                parts.append(_distinct([(keys, given)], order))
+                at_key, own = pd.factorize(keys)
+                parts.append((own, np.bincount(at_key, weights=given, minlength=len(own)).astype(np.int64)))
                 for i, (lo, hi) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
                     words = part[lo:hi].tobytes().split()
                     known.update(words) if train[a + i] else other.update(words)
@@ -252,7 +254,7 @@ def _wanted(order, buckets):
         keys, words = np.zeros(0, np.int64), set()
         for _, part, at in slices(data, offsets, SLICE):
             part = LOWER[part]
-            keys = np.union1d(keys, gram_keys(part, at, order)[0])
+            keys = np.union1d(keys, pd.unique(gram_keys(part, at, order)[0]))
             for lo, hi in zip(at[:-1].tolist(), at[1:].tolist()):
                 words.update(part[lo:hi].tobytes().split())
         words = list(words)
@@ -284,8 +286,7 @@ def _scored(order):
         data, offsets = text_bytes(texts.column("text"))
         load = lambda c, kind: np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in answers.column(c).to_pylist())])
         keys, log_p = load("grams", np.int64), load("log_p", np.float64)
-        at = np.argsort(keys)
-        keys, log_p = keys[at], log_p[at]
+        place = pd.Index(keys)
         words = [w for held in answers.column("words").to_pylist() for w in _split(held)]
         counts = load("word_counts", np.float64)
         worth, known = dict(zip(words, np.log10(counts + 0.5).tolist())), math.log10(0.75)
@@ -293,7 +294,7 @@ def _scored(order):
         for _, part, bounds in slices(data, offsets, SLICE):
             part = LOWER[part]
             wanted, first = gram_keys(part, bounds, order)
-            scores.append(np.add.reduceat(log_p[np.searchsorted(keys, wanted)], first))
+            scores.append(np.add.reduceat(log_p[place.get_indexer(wanted)], first))
             for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                 own = part[lo:hi].tobytes().split()
                 values_ = np.fromiter(map(worth.__getitem__, own), float, len(own))
