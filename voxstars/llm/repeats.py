@@ -33,7 +33,7 @@ STEP = 1 << 20
 LAST = np.iinfo(np.int64).max
 ANCHORS = "bucket int, block int, once binary, twice binary, counts binary"
 REPEATED = "block int, bucket int, some binary, hot binary, ids binary, masks binary"
-SEGMENTS = "part int, block int, keys binary, ids binary, sizes binary, docs binary, content binary"
+SEGMENTS = "part int, block int, keys binary, sizes binary, docs binary, content binary"
 
 
 def _gram_hashes(data, size):
@@ -240,7 +240,7 @@ def _segments(buckets, length):
             mine = at[bounds[p] : bounds[p + 1]]
             size = count[mine] + length - 1
             out.append((
-                p, block, keys[mine].tobytes(), ids[mine].tobytes(), size.astype(np.int64).tobytes(),
+                p, block, keys[mine].tobytes(), size.astype(np.uint32).tobytes(),
                 doc_ids[rows[mine]].tobytes(), _gather(data, place[mine], size).tobytes(),
             ))
         return _table(out, SEGMENTS)
@@ -335,11 +335,12 @@ def _masks(length, batch_bytes):
 
     def run(table):
         load = lambda c, kind: [np.frombuffer(x, kind) for x in table.column(c).to_pylist()]
-        keys, ids, sizes, docs = load("keys", np.uint64), load("ids", np.uint64), load("sizes", np.int64), load("docs", np.int64)
+        keys, sizes, docs = load("keys", np.uint64), load("sizes", np.uint32), load("docs", np.int64)
         blocks = np.repeat(np.array(table.column("block").to_pylist(), np.int32), [len(k) for k in keys])
-        keys, ids, sizes, docs = (np.concatenate(x) for x in (keys, ids, sizes, docs))
+        keys, docs, sizes = np.concatenate(keys), np.concatenate(docs), np.concatenate(sizes).astype(np.int64)
         content = np.concatenate(load("content", np.uint8))
         at_byte = np.r_[0, np.cumsum(sizes)[:-1]]
+        ids = token_hashes(content, at_byte, at_byte + sizes)
         # Distinct segments in the order of their keys; those alone with their key have nothing to meet.
         order = np.lexsort((docs, ids, keys))
         new = np.ones(len(ids), bool)
