@@ -38,13 +38,15 @@ def test_stages_in_order(parts):
     assert parts[5].count() > 0
 
 
-def test_quality_keeps_good_labels(spark, folder, parts):
+def test_quality_keeps_good_labels(spark, folder):
+    """At sf0.01: the smallest scale has 11 bad labels, of which half cannot fix a split."""
+    folder = folder.replace("sf0.001", "sf0.01")
     labels = by_id(spark.read.parquet(f"{folder}/labels.parquet"))
-    kept = by_id(parts[1])
+    kept = by_id(STAGE["quality classifier"](spark, spark.read.parquet(f"{folder}/documents.parquet"), folder).select("doc_id"))
     good = [i for i, r in labels.items() if r["quality"] == 1]
     bad = [i for i, r in labels.items() if r["quality"] == 0]
     assert sum(i in kept for i in good) >= 0.95 * len(good)
-    assert sum(i in kept for i in bad) <= 0.35 * len(bad)  # a dozen labelled rows to learn from
+    assert sum(i in kept for i in bad) <= 0.2 * len(bad)
 
 
 def test_one_document_of_each_component(parts):
