@@ -32,7 +32,7 @@ from voxstars.sources.staging import stage
 ORDER = 5
 START, END = 0xFF, 0xFE  # never part of UTF-8
 ALPHABET = 243 + 1  # bytes that UTF-8 has, and the end
-SLICE = 2 << 20
+SLICE = 1 << 20
 MOST = 2_000_000  # distinct (context, byte) or words that a task counts before it passes them on
 COUNTS = "bucket int, grams binary, counts binary, words binary, word_counts binary, texts long"
 WANTED = "chunk int, bucket int, grams binary, words binary"
@@ -136,12 +136,11 @@ def _counted(order, buckets):
                 part = LOWER[part]
                 keys, first = gram_keys(part, at, order)
                 given = np.repeat(train[a : a + len(at) - 1], np.diff(np.r_[first, len(keys)]))
-                at_key, own = pd.factorize(keys)
-                parts.append((own, np.bincount(at_key, weights=given, minlength=len(own)).astype(np.int64)))
+                parts.append(_distinct([(keys, given)], order))
                 for i, (lo, hi) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
                     words = part[lo:hi].tobytes().split()
                     known.update(words) if train[a + i] else other.update(words)
-                if len(parts) >= 8:
+                if len(parts) >= 4:
                     parts[:] = [_distinct(parts, order)]
                 if len(parts[0][0]) > MOST or len(known) + len(other) > MOST:
                     yield from flush()
@@ -254,7 +253,7 @@ def _wanted(order, buckets):
         keys, words = np.zeros(0, np.int64), set()
         for _, part, at in slices(data, offsets, SLICE):
             part = LOWER[part]
-            keys = np.union1d(keys, pd.unique(gram_keys(part, at, order)[0]))
+            keys = np.union1d(keys, np.unique(gram_keys(part, at, order)[0]))
             for lo, hi in zip(at[:-1].tolist(), at[1:].tolist()):
                 words.update(part[lo:hi].tobytes().split())
         words = list(words)
