@@ -54,6 +54,40 @@ def test_kth_largest(spark):
         assert resampling.kth_largest(df, "x", k) == ordered[k - 1]
 
 
+def plain_split(rows, care=4.0):
+    """The best of all thresholds at a distinct weight, the lowest of equal ones, and the weight below it."""
+    good, bad = [w for w, y in rows if y], [w for w, y in rows if not y]
+    tried = [(sum(w < t for w in bad) * len(good) - care * sum(w < t for w in good) * len(bad), -t) for t in {w for w, _ in rows}]
+    best = max(tried)
+    return -best[1], max((w for w, _ in rows if w < -best[1]), default=None)
+
+
+def test_split_does_not_depend_on_the_range(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(float(w), 1) for w in rng.normal(20, 12, 300)] + [(float(w), 0) for w in rng.normal(-30, 14, 300)]
+    for far in ([], [(-3e6, 0)], [(-3e12, 0), (9e11, 1)]):
+        above, below = plain_split(rows + far)
+        df = spark.createDataFrame(rows + far, "weight double, _label int")
+        for size in (1 << 16, 50):
+            monkeypatch.setattr(resampling, "RANGE", size)
+            assert below < resampling.best_split(df) <= above
+
+
+def test_one_labelled_text_of_a_million_words(spark):
+    rows, labels = corpus(spark)
+    ordinary = [r[0] % 5 == 0 for r in rows]
+    rng = np.random.default_rng(8)
+    ids = spark.range(2000, 2100).filter(F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(2)) == 1)
+    far = ids.first()[0]
+    rows.append((far, " ".join(rng.choice([f"JUNK{i}!!" for i in range(60)], 500_000))))  # a word and its signs are two tokens
+    labels = labels.union(spark.createDataFrame([(far, 0, 0)], labels.schema))
+    kept = {r["doc_id"] for r in resampling.resample(make_docs(spark, rows), labels).select("doc_id").collect()}
+    bad = [r[0] for r, junk in zip(rows, ordinary) if junk]
+    assert far not in kept and sum(i in kept for i in bad) <= 0.08 * len(bad)
+    good = [r[0] for r, junk in zip(rows, ordinary) if not junk]
+    assert sum(i in kept for i in good) >= 0.99 * len(good)
+
+
 def test_without_labels_or_documents(spark):
     docs, none = make_docs(spark, [(1, "a"), (2, None)]), spark.createDataFrame([], "doc_id long, quality int")
     assert resampling.resample(docs, none).count() == 2

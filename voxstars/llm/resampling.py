@@ -17,6 +17,7 @@ any labelled rows of either class, every document is kept.
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from voxstars.llm.texts import LOWER, mixed, pieces, rows_of, slices, text_bytes, token_hashes
@@ -24,6 +25,7 @@ from voxstars.sources.staging import stage
 
 BINS = 1 << 16
 MAX_LABELLED = 500_000
+RANGE = 1 << 16
 SMOOTH = 1.0
 
 
@@ -101,21 +103,35 @@ def weight_column(ratios):
 
 
 def best_split(rows, care=4.0):
-    """The weight that best tells the two labels apart; a share of good rows lost counts ``care`` times."""
-    low, high = rows.agg(F.min("weight"), F.max("weight")).first()
-    if low is None or low == high:
-        return None
-    cell = F.least(F.lit(4095), F.floor((F.col("weight") - low) / ((high - low) / 4096)))
-    counts = rows.groupBy(cell.alias("cell")).agg(F.sum("_label").alias("good"), F.count(F.lit(1)).alias("n")).toPandas()
-    good, bad = np.zeros(4096), np.zeros(4096)
-    good[counts["cell"]] = counts["good"]
-    bad[counts["cell"]] = counts["n"] - counts["good"]
-    if not good.sum() or not bad.sum():
+    """The weight that best tells the two labels apart; a share of good rows lost counts ``care`` times.
+
+    Exact whatever the range of the weights: running counts over the ordered distinct weights, taken
+    in ranges of about ``RANGE`` of them, each from the totals of the ranges below.
+    """
+    counts = stage(rows.groupBy("weight").agg(F.sum("_label").alias("good"), F.sum(1 - F.col("_label")).alias("bad")))
+    n, low, good, bad = counts.agg(F.count(F.lit(1)), F.min("weight"), F.sum("good"), F.sum("bad")).first()
+    if n < 2 or not good or not bad:
         return None
-    # Share of bad rows below each edge, less that of good rows; the middle of the best run.
-    gain = np.r_[0, np.cumsum(bad) / bad.sum() - care * np.cumsum(good) / good.sum()]
-    best = np.flatnonzero(gain >= gain.max() - 1e-12)
-    return low + (high - low) * (best[0] + best[-1]) / 2 / 4096
+    ranges = counts.repartitionByRange(1 + n // RANGE, "weight").withColumn("range", F.spark_partition_id())
+    ranges = stage(ranges)
+    sums = ranges.groupBy("range").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).toPandas().sort_values("range")
+    sums[["good", "bad"]] = sums[["good", "bad"]].cumsum() - sums[["good", "bad"]]
+    below = rows.sparkSession.createDataFrame(
+        [tuple(map(int, r)) for r in sums[["range", "good", "bad"]].to_numpy()], "range int, good_below long, bad_below long"
+    )
+    upto = Window.partitionBy("range").orderBy("weight")
+    # Share of bad rows up to each weight, less that of good rows, both times good * bad.
+    gain = (F.col("bad_below") + F.sum("bad").over(upto)) * F.lit(float(good)) - (
+        F.col("good_below") + F.sum("good").over(upto)
+    ) * F.lit(care * bad)
+    best = ranges.join(F.broadcast(below), "range").select("weight", gain.alias("gain")).orderBy(F.desc("gain"), "weight").first()
+    if best["gain"] <= 0:
+        return low
+    # The middle between the best weight and the next one above it.
+    above = ranges.filter(F.col("weight") > best["weight"]).agg(F.min("weight")).first()[0]
+    above = float(np.nextafter(best["weight"], np.inf)) if above is None else above
+    middle = best["weight"] + (above - best["weight"]) / 2
+    return middle if middle > best["weight"] else above
 
 
 def kth_largest(rows, key, k):
