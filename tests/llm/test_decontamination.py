@@ -77,3 +77,29 @@ def test_clean_and_odd_rows(spark):
     assert sorted((r["doc_id"] for r in kept.collect())) == [1, 2, 5, 5]
     assert d.clean(make_docs(spark, rows), bench.limit(0)).count() == len(rows)
     assert d.matches(make_docs(spark, []), bench).count() == 0
+
+
+def test_capitals_of_any_script(spark):
+    items = [(1, "l'été dernier, où çà et là les élèves étaient fatigués, l'âne brun a mangé à côté du théâtre"),
+             (2, "съешь же ещё этих мягких французских булок, да выпей чаю в тени старого дуба"),
+             (3, "die große straße am fluß führt weit hinaus über die äcker und höfe")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(i, f"avant {t.upper()} après") for i, t in items] + [(i + 10, f"avant {t.title()}") for i, t in items]
+    got = sorted((r["doc_id"], r["item_id"], r["distance"]) for r in d.matches(make_docs(spark, rows), bench).collect())
+    assert got == [(i + k, i, 0) for k in (0, 10) for i, _ in items]
+    assert d.clean(make_docs(spark, [*rows, (30, "ДРУГОЙ ТЕКСТ")]), bench).collect()[0]["doc_id"] == 30
+
+
+def test_an_edit_of_any_letter_counts_once(spark):
+    rng = random.Random(6)
+    item = " ".join("".join(rng.choice("абвгдежзиклмнопрст") for _ in range(6)) for _ in range(20))
+    budget = int(len(item) * d.ERROR_RATE)
+    rows = []
+    for k, edits in enumerate([1, budget, budget + 1]):
+        chars = list(item)
+        for at in [i for i, c in enumerate(item) if c != " "][:: len(item) // (budget + 2)][:edits]:
+            chars[at] = "漢"
+        rows.append((k, "".join(chars)))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r["doc_id"]: (r["distance"], r["start"], r["end"]) for r in d.matches(make_docs(spark, rows), bench).collect()}
+    assert got == {0: (1, 0, len(item)), 1: (budget, 0, len(item))}

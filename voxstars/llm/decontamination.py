@@ -1,14 +1,15 @@
 """Benchmark passages in documents, found by pigeonhole edit matching.
 
-An item may be changed by a share of its bytes: its error budget e. It is split into e + 1 pieces,
+An item may be changed by a share of its characters: its error budget e. It is split into e + 1 pieces,
 of which at least one must occur unchanged. One automaton of all pieces finds exact hits in whole
-texts; hits on the same diagonal, up to e, are one candidate, which shared four-byte strings can
-refuse (each edit takes four away at most) and Myers' bit-parallel distance decides. Texts and items
-are compared in lower case (A-Z) with white space as one blank.
+texts; hits on the same diagonal, up to e, are one candidate, which shared strings of four characters
+can refuse (each edit takes four away at most) and Myers' bit-parallel distance decides. Texts and
+items are compared in code points after Unicode case folding, with white space as one blank; pieces,
+budgets, distances and places all count those.
 
 Items are sent to the tasks in blocks of at most ``block_bytes``; documents are read once a block.
 
-Cases: null and empty texts or items match nothing; items under ``1 / error_rate`` bytes have no
+Cases: null and empty texts or items match nothing; items under ``1 / error_rate`` characters have no
 budget and match exactly; repeated items, and items with a null id, are matched like others; every
 row of ``docs`` is searched on its own.
 """
@@ -22,8 +23,8 @@ FOUND = "doc_id long, item_id long, start long, end long, distance int"
 
 
 def normal(data):
-    """Lower-case bytes with one blank between words, as a string of one character a byte."""
-    return b" ".join(data.lower().split()).decode("latin-1")
+    """The case-folded text of UTF-8 bytes with one blank between words."""
+    return " ".join(data.decode("utf-8", "replace").casefold().split())
 
 
 def cut(text, parts):
