@@ -65,6 +65,30 @@ def test_held_out_accuracy_and_spans(spark):
             assert any(w in texts[r["doc_id"]][s["start"] : s["end"]] for w in (b"moron", b"scum", b"trash"))
 
 
+def test_every_passage_is_found(spark):
+    rows, labels = corpus(spark)
+    passage, filler = "moron scummy scumbag trashy", " ".join(f"w{i % 150:03d}x" for i in range(3000))
+    alone = " ".join(f"{filler} {word}" for word in passage.split())
+    rows += [(2000, f"{passage} {filler} {passage}"), (2001, f"{passage} {filler}"), (2002, f"{alone} {filler} {passage}")]
+    known = spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.score(make_docs(spark, rows), known).collect()}
+    texts = dict(rows)
+    found = {i: [texts[i][s["start"] : s["end"]] for s in got[i]["segments"]] for i in (2000, 2001, 2002)}
+    assert found[2000] == [passage, passage] and found[2001] == [passage]
+    assert found[2002][-1] == passage  # whose words all stood alone before
+    assert abs(got[2000]["segments"][0]["gain"] - got[2000]["segments"][1]["gain"]) < 1e-6
+    assert abs(got[2000]["score"] - got[2001]["score"]) < 0.01
+
+
+def test_a_word_counts_once_in_its_best_segment():
+    words, rows = np.array([1, 2, 9, 1, 3, 1, 1], np.int64), np.array([0, 0, 0, 0, 0, 0, 1])
+    scores = np.array([2.0, -5.0, -5.0, 2.0, 3.0, 2.0, 2.0])
+    gains = np.array([2.0, 0, 0, 7.0, 7.0, 7.0, 2.0])
+    off = -toxicity.DRIFT
+    assert toxicity.fresh_scores(scores, words, rows, gains).tolist() == [off, -5.0, -5.0, 2.0, 3.0, off, 2.0]
+    assert toxicity.fresh_scores(np.zeros(0), words[:0], rows[:0], np.zeros(0)).tolist() == []
+
+
 def test_without_labels_or_documents(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert [r["score"] for r in toxicity.score(make_docs(spark, [(1, "a"), (2, None)]), none).collect()] == [0.5, 0.5]

@@ -6,9 +6,11 @@ all labelled text; those whose ratio is large against its standard error are kep
 the ratio of its longest known part, else zero, less a small constant. One scan finds every
 maximal-scoring segment of a text. A segment of score S in n tokens is calibrated by extreme-value
 statistics: E = K n exp(-lambda S) segments as good are expected in clean text, where lambda solves
-sum p exp(lambda s) = 1 over the clean token distribution and K fits clean documents. The
-significances -ln E of a document's segments are added, and a logistic curve of the sum's logarithm,
-fitted on a fold that gave no log-odds, gives the score.
+sum p exp(lambda s) = 1 over the clean token distribution and K fits clean documents. Segments are
+those of all tokens, so a passage is found wherever and however often it stands. For the document's
+score each word counts once, in the best segment that has it: the significances -ln E of the
+segments of what is then left are added, and a logistic curve of the sum's logarithm, fitted on a
+fold that gave no log-odds, gives the score.
 
 Bounds: about ``max_labelled`` labelled rows, whose ids are broadcast, and ``max_tokens`` tokens in
 the table of log-odds, those with the largest standardised ratio. Every document is scored whole.
@@ -100,10 +102,7 @@ def log_odds(docs, max_tokens=MAX_TOKENS, prior=PRIOR, sure=SURE):
 
 
 def token_scores(hashes, rows, table):
-    """The score of each token: the log-odds of its longest known part, or none, less the drift.
-
-    A word that a text repeats counts once there, so that one word is no evidence of its own.
-    """
+    """The score of each token: the log-odds of its longest known part, or none, less the drift."""
     keys, values, maybe = table
     scores = np.zeros(hashes.shape[1])
     for row in hashes:
@@ -111,14 +110,24 @@ def token_scores(hashes, rows, table):
         at = np.minimum(np.searchsorted(keys, row[hit]), max(0, len(keys) - 1))
         known = keys[at] == row[hit] if len(keys) else np.zeros(0, bool)
         scores[hit[known]] = values[at[known]]
-    good = np.flatnonzero(scores > 0)
-    once = np.unique(mixed(hashes[-1][good].view(np.uint64) + rows[good].astype(np.uint64) * PRIME), return_index=True)[1]
-    again = np.ones(len(good), bool)
-    again[once] = False
-    scores[good[again]] = 0
     return scores - DRIFT
 
 
+def fresh_scores(scores, words, rows, gains):
+    """The scores with each positive word of a text counted once, so that one word is no evidence of its own.
+
+    It counts in the segment of the largest gain that has it (``gains``, of each token's segment), at its
+    first place there; elsewhere only the drift does.
+    """
+    good = np.flatnonzero(scores > 0)
+    keys = mixed(words[good].view(np.uint64) + rows[good].astype(np.uint64) * PRIME)
+    order = np.lexsort((good, -gains[good], keys))
+    again = np.r_[False, keys[order][1:] == keys[order][:-1]][: len(good)]
+    out = scores.copy()
+    out[good[order[again]]] = -DRIFT
+    return out
+
+
 def lookup_table(tokens, values):
     """Sorted tokens, their values, and a bit table that tells most unknown tokens apart at once."""
     order = np.argsort(tokens)
@@ -183,35 +192,42 @@ def score_shares(clean, table):
 
 
 def _scanned(table):
-    """Token count and segments of every row (an id and a text)."""
+    """Token count and segments of every row (an id and a text), and the gains with each word counted once."""
     segment = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("gain", pa.float64())]))
 
     def run(batches):
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
-            counts, spans = [], []
+            counts, spans, fresh = [], [], []
             for _, part, at in slices(data, offsets):
                 starts, ends, hashes = _tokens(LOWER[part], at)
-                scores = token_scores(hashes, rows_of(at, starts), table)
+                rows = rows_of(at, starts)
+                scores = token_scores(hashes, rows, table)
                 bounds = np.searchsorted(starts, at)
                 hot = np.r_[0, np.cumsum(scores > 0)]
                 counts.append(np.diff(bounds))
-                for lo, hi, base in zip(bounds[:-1].tolist(), bounds[1:].tolist(), at[:-1].tolist()):
+                texts, gains = list(zip(bounds[:-1].tolist(), bounds[1:].tolist(), at[:-1].tolist())), np.zeros(len(scores))
+                for lo, hi, base in texts:
                     found = maximal_segments(scores[lo:hi]) if hot[hi] > hot[lo] else ()
+                    for a, b, gain in found:
+                        gains[lo + a : lo + b] = gain
                     spans.append([
                         {"start": int(starts[lo + a]) - base, "end": int(ends[lo + b - 1]) - base, "gain": gain}
                         for a, b, gain in found
                     ])
+                once = fresh_scores(scores, hashes[-1], rows, gains)
+                fresh += [[gain for _, _, gain in maximal_segments(once[lo:hi])] if hot[hi] > hot[lo] else [] for lo, hi, _ in texts]
             n = pa.array(np.concatenate(counts) if counts else [], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), n, pa.array(spans, segment)], names=["doc_id", "n_tokens", "segments"])
+            columns = [batch.column(0), n, pa.array(spans, segment), pa.array(fresh, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "segments", "fresh"])
 
     return run
 
 
 def significance(lam, log_k):
-    """ln(1 + sum of -ln E over the segments of a text with E below 1)."""
-    log_e = lambda s: F.lit(log_k) + F.log(F.col("n_tokens").cast("double")) - F.lit(lam) * s["gain"]
-    total = F.aggregate("segments", F.lit(0.0), lambda total, s: total + F.greatest(F.lit(0.0), -log_e(s)))
+    """ln(1 + sum of -ln E over the segments of a text, each word counted once, with E below 1)."""
+    log_e = lambda gain: F.lit(log_k) + F.log(F.col("n_tokens").cast("double")) - F.lit(lam) * gain
+    total = F.aggregate("fresh", F.lit(0.0), lambda total, gain: total + F.greatest(F.lit(0.0), -log_e(gain)))
     return F.log1p(total)
 
 
@@ -243,7 +259,7 @@ def score(docs, labels, label="toxic", max_labelled=MAX_LABELLED, max_tokens=MAX
         return docs.select("doc_id", F.lit(share).alias("score"), F.expr("array()").cast(SEGMENTS).alias("segments"))
     rows = odds
     table = lookup_table(rows["token"].to_numpy(), rows["score"].to_numpy())
-    scanned = stage(docs.mapInArrow(_scanned(table), f"doc_id long, n_tokens long, segments {SEGMENTS}"))
+    scanned = stage(docs.mapInArrow(_scanned(table), f"doc_id long, n_tokens long, segments {SEGMENTS}, fresh array<double>"))
     clean = docs.join(first.filter("_label = 0"), docs["doc_id"] == F.col("_id")).select("text")
     lam = solve_lambda(*score_shares(clean, table))
     known = scanned.join(second, scanned["doc_id"] == second["_id"])
