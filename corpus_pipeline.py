@@ -25,11 +25,14 @@ def quality_classifier(spark, docs, sf_dir):
 def simhash_near_dedup(spark, docs, sf_dir):
     """Of every component of near-duplicates the document with the smallest id stays.
 
-    Documents without an id stay; rows with the id that stays are that document.
+    Documents without an id stay; rows of the component with the id that stays are that document. Of
+    rows that share an id, only those go whose own component has a smaller id.
     """
     found = simhash.near_duplicates(docs.select("doc_id", "text"), size=3, bits=2)
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone_id"), F.col("fp").alias("_gone_fp")).distinct()
+    marked = docs.withColumn("_own_fp", simhash.fingerprint(F.col("text"), size=3))
+    own = (marked["doc_id"] == gone["_gone_id"]) & (marked["_own_fp"] == gone["_gone_fp"])
+    return marked.join(gone, own, "left_anti").select(*docs.columns)
 
 
 def suffix_array_dedup(spark, docs, sf_dir):

@@ -95,6 +95,16 @@ def test_stages_on_odd_rows(spark, tmp_path):
             docs = out
 
 
+def test_near_copies_go_by_row_where_ids_repeat(spark):
+    rng = random.Random(3)
+    one, two, three = (" ".join(f"word{rng.randrange(999)}" for _ in range(60)) for _ in range(3))
+    rows = [(1, one), (5, one), (5, two), (5, None), (6, two), (7, three), (7, three), (None, one), (8, None)]
+    kept = STAGE["SimHash near-dedup"](spark, make_docs(spark, rows), "")
+    assert kept.columns == make_docs(spark, []).columns
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    assert got == sorted([(1, one), (5, two), (5, None), (7, three), (7, three), (None, one)], key=str)
+
+
 def test_registered():
     names = [n for n in queries() if n.startswith("op")]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in queries()

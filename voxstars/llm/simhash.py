@@ -76,6 +76,18 @@ def _fingerprint_batches(size):
     return run
 
 
+def fingerprint(text, size=3):
+    """The fingerprint of a text column, as ``fingerprints`` has it."""
+
+    @F.arrow_udf("long")
+    def of(texts: pa.Array) -> pa.Array:
+        data, offsets = text_bytes(texts)
+        found = [fingerprints_of(LOWER[part], at, size) for _, part, at in slices(data, offsets)]
+        return pa.array(np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64))
+
+    return of(text)
+
+
 def fingerprints(docs, size=3):
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(_fingerprint_batches(size), "doc_id long, fp long")
