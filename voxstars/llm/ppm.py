@@ -64,8 +64,25 @@ def gram_keys(data, offsets, order):
 def _distinct(parts, order):
     """Distinct keys of several slices and how often training texts have them."""
     keys, n = (np.concatenate(x) for x in zip(*parts))
-    keys, at = np.unique(keys, return_inverse=True)
-    return keys, np.bincount(at, weights=n, minlength=len(keys)).astype(np.int64)
+    if not len(keys):
+        return keys, np.zeros(0, np.int64)
+    place = np.argsort(keys)
+    keys = keys[place]
+    first = np.flatnonzero(_new(keys))
+    return keys[first], np.add.reduceat(n[place].astype(np.int64), first)
+
+
+def _new(ordered):
+    """Marks the first of every run of equal keys."""
+    mark = np.ones(len(ordered), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=mark[1:])
+    return mark
+
+
+def _once(keys):
+    """Distinct keys in order; a sort with a mask is many times faster than numpy's hash table for unique keys."""
+    ordered = np.sort(keys)
+    return ordered[_new(ordered)]
 
 
 def _bucket(keys, buckets):
@@ -250,13 +267,18 @@ def _wanted(order, buckets):
     def run(table):
         chunk = table.column("chunk")[0].as_py()
         data, offsets = text_bytes(table.column("text"))
-        keys, words = np.zeros(0, np.int64), set()
+        found, held, most, words = [], 0, 4 * MOST, set()
         for _, part, at in slices(data, offsets, SLICE):
             part = LOWER[part]
-            keys = np.union1d(keys, np.unique(gram_keys(part, at, order)[0]))
+            found.append(_once(gram_keys(part, at, order)[0]))
+            held += len(found[-1])
+            if held > most:  # a chunk is as long as its repeated rows make it
+                found = [_once(np.concatenate(found))]
+                held = len(found[0])
+                most = max(most, 2 * held)
             for lo, hi in zip(at[:-1].tolist(), at[1:].tolist()):
                 words.update(part[lo:hi].tobytes().split())
-        words = list(words)
+        words, keys = list(words), _once(np.concatenate([np.zeros(0, np.int64), *found]))
         rows = _by_bucket(keys, np.zeros(len(keys), np.int64), words, np.zeros(len(words), np.int64), buckets)
         return _table([(chunk, bucket, grams, held) for bucket, grams, _, held, _ in rows], WANTED)
 
