@@ -72,6 +72,16 @@ def _distinct(parts, order):
     return keys[first], np.add.reduceat(n[place].astype(np.int64), first)
 
 
+def _distinct_of(keys, given):
+    """The same for one slice: the flag rides in the key's lowest bit, so that a plain sort is enough."""
+    if not len(keys):
+        return keys, np.zeros(0, np.int64)
+    ordered = np.sort((keys << 1) | given)
+    given, ordered = ordered & 1, ordered >> 1
+    first = np.flatnonzero(_new(ordered))
+    return ordered[first], np.add.reduceat(given, first)
+
+
 def _new(ordered):
     """Marks the first of every run of equal keys."""
     mark = np.ones(len(ordered), bool)
@@ -153,7 +163,7 @@ def _counted(order, buckets):
                 part = LOWER[part]
                 keys, first = gram_keys(part, at, order)
                 given = np.repeat(train[a : a + len(at) - 1], np.diff(np.r_[first, len(keys)]))
-                parts.append(_distinct([(keys, given)], order))
+                parts.append(_distinct_of(keys, given))
                 for i, (lo, hi) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
                     words = part[lo:hi].tobytes().split()
                     known.update(words) if train[a + i] else other.update(words)
