@@ -14,8 +14,11 @@ COLUMNS = {
     "op7_mix_sources": {"doc_id", "size", "source_size", "target", "taken"},
     "op8_toxic_passages": {"doc_id", "held_out", "score", "predicted", "segments"},
     "op10_main_text": {"page_id", "url", "text", "n_chars"},
+    "op11_spelling_variants": {"word", "form", "root", "n", "n_near", "form_n"},
+    "op12_whitened_vectors": {"vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"},
+    "op13_packed_shards": {"doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"},
 }
-WHOLE = {"op3_repeated_bytes", "op4_simhash_components", "op5_ppm_scores", "op7_mix_sources", "op8_toxic_passages"}
+WHOLE = {"op3_repeated_bytes", "op4_simhash_components", "op5_ppm_scores", "op7_mix_sources", "op8_toxic_passages", "op13_packed_shards"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))

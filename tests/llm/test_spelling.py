@@ -1,0 +1,107 @@
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from helpers import make_docs, rows
+
+from voxstars.llm import spelling
+from voxstars.llm.queries import QUERIES
+
+RUN = re.compile("[A-Za-zÀ-ÿ]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def near(a, b):
+    """One inserted, deleted or replaced code point, by trying all of them."""
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    short, long = sorted((a, b), key=len)
+    return len(long) == len(short) + 1 and any(long[:i] + long[i + 1 :] == short for i in range(len(long)))
+
+
+def brute(docs, every=199):
+    n = Counter()
+    for i, text in docs:
+        for word in RUN.findall(text or ""):
+            word = word.translate(LOWER)
+            h = zlib.crc32(f"{'' if i is None else i}:{word}".encode())
+            if h % every == 0:
+                word = word[: h % len(word)] + word[h % len(word) + 1 :]
+            n[word] += 1
+    n = {w: c for w, c in n.items() if len(w) >= 6 and c >= 5}
+    out, form = {}, {}
+    for w, c in n.items():
+        others = sorted((o for o in n if near(w, o)), key=lambda o: (-n[o], o))
+        best = others[0] if others and n[others[0]] >= 5 * c else None
+        form[w] = best
+        out[w] = (w, best, c, len(others), n[best] if best else None)
+    roots = {}
+    for w in n:
+        at = w
+        while form[at]:
+            at = form[at]
+        roots[w] = at
+    return sorted((w, f or "", roots[w], c, k, m or 0) for w, f, c, k, m in out.values())
+
+
+def check(spark, docs, **options):
+    found = spelling.group_spellings(make_docs(spark, docs), **options)
+    got = sorted((w, f or "", r, n, k, m or 0) for w, f, r, n, k, m in rows(found, "word", "form", "root", "n", "n_near", "form_n"))
+    assert got == brute(docs, options.get("every", 199))
+    return got
+
+
+def test_planted_spellings(spark):
+    rng = np.random.default_rng(5)
+    letters = list("abcdeéàçñ×ÿrstlno")
+    bases = ["".join(rng.choice(letters, rng.integers(6, 12))) for _ in range(40)]
+    words = []
+    for base in bases:
+        words += [base] * int(rng.integers(100, 900))
+        for _ in range(6):
+            at = int(rng.integers(0, len(base)))
+            kind = rng.integers(0, 3)
+            end = base[at:] if kind == 0 else base[at + 1 :]
+            words += [base[:at] + ("" if kind == 1 else str(rng.choice(letters))) + end] * int(rng.integers(3, 40))
+    rng.shuffle(words)
+    docs = [(i, " ".join(words[i::150]) + ("; Ünder-ŵord ABCDEFG" if i % 3 else "")) for i in range(150)]
+    got = check(spark, docs)
+    assert sum(bool(g[1]) for g in got) > 50 and max(g[4] for g in got) > 3
+    check(spark, docs, every=3)  # many words that lose a letter
+
+
+def test_chains_of_forms_and_ties(spark):
+    steps = ["aaaaaa", "aaaaab", "aaaabb", "aaabbb", "aabbbb", "abbbbb"]
+    text = " ".join(" ".join([w] * (5 * 5**i)) for i, w in enumerate(steps))
+    tie = " ".join(["mmmmmx"] * 30 + ["mmmmmy"] * 30 + ["mmmmmz"] * 6)
+    got = {g[0]: g for g in check(spark, [(1, text), (2, tie), (3, "mmmmmz"), (3, "mmmmmz")], every=10**9)}
+    assert got["aaaaaa"][2] == "abbbbb" and got["mmmmmz"][1] == "" or got["mmmmmz"][1] == "mmmmmx"
+
+
+def test_crowded_signatures(spark):
+    """Many words with the same letters but one or two: their signatures are split by halves."""
+    rng = np.random.default_rng(2)
+    words = {"abcdefgh" + a + b for a in "ijklmnopq" for b in "rstuvwxyzé"} | {"".join(rng.permutation(list("abcdefg"))) for _ in range(200)}
+    table = spark.createDataFrame([(w, 7) for w in words], "word string, n long")
+    for crowded in (4, 1000):
+        found = spelling.near_words(table, crowded=crowded)
+        assert {(r["word"], r["other"]) for r in found.collect()} == {(a, b) for a in words for b in words if near(a, b)}
+        assert found.count() == found.distinct().count()
+
+
+def test_odd_rows(spark):
+    long = "Wörterbuch, " * 300_000  # 3.9 MB, cut between words
+    docs = [(1, None), (2, ""), (None, "letters " * 9), (3, "a" * 3_000_000), (4, long), (5, long), (5, "wörterbuc " * 7), (5, "wörterbuc " * 7)]
+    got = {g[0]: g for g in check(spark, docs)}
+    assert got["wörterbuch"][3] == 600_000 and got["wörterbuc"][1] == "wörterbuch"
+    assert check(spark, []) == [] and check(spark, [(1, "short w0rds")]) == []
+
+
+@pytest.mark.parametrize("name", ["op11_spelling_variants"])
+def test_query_over_the_whole_table(spark, folder, name):
+    docs = rows(spark.read.parquet(f"{folder}/documents.parquet"), "doc_id", "text")
+    got = QUERIES[name](spark, folder)
+    assert got.columns == ["word", "form", "root", "n", "n_near", "form_n"]
+    assert sorted((w, f or "", r, n, k, m or 0) for w, f, r, n, k, m in map(tuple, got.collect())) == brute(docs)

@@ -2,7 +2,21 @@
 
 from pyspark.sql import functions as F
 
-from voxstars.llm import decontamination, extraction, mixing, ppm, repeats, resampling, simhash, toxicity, vectors, warc
+from voxstars.llm import (
+    decontamination,
+    extraction,
+    mixing,
+    ppm,
+    repeats,
+    resampling,
+    sharding,
+    simhash,
+    spelling,
+    toxicity,
+    vectors,
+    warc,
+    whitening,
+)
 
 
 def _read(spark, folder, table):
@@ -66,6 +80,21 @@ def op10_main_text(spark, folder):
     return texts.select("*", F.length("text").cast("long").alias("n_chars"))
 
 
+def op11_spelling_variants(spark, folder):
+    return spelling.group_spellings(_read(spark, folder, "documents"))
+
+
+def op12_whitened_vectors(spark, folder):
+    return whitening.whiten(_read(spark, folder, "embeddings"))
+
+
+def op13_packed_shards(spark, folder):
+    placed = sharding.assign(_read(spark, folder, "documents"), shards=24)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 QUERIES = {
     "op1_benchmark_passages": op1_benchmark_passages,
     "op2_warc_revisits": op2_warc_revisits,
@@ -77,6 +106,9 @@ QUERIES = {
     "op7_mix_sources": op7_mix_sources,
     "op9_nearest_vectors": op9_nearest_vectors,
     "op10_main_text": op10_main_text,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_whitened_vectors": op12_whitened_vectors,
+    "op13_packed_shards": op13_packed_shards,
 }
 
 ORACLE = {
