@@ -107,5 +107,5 @@ def test_near_copies_go_by_row_where_ids_repeat(spark):
 
 def test_registered():
     names = [n for n in queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in queries()
     assert set(oracle_sql()) <= set(queries())

@@ -24,12 +24,13 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from voxstars.llm.texts import LOWER, PRIME, SLICE, mixed, rows_of, runs, slices, text_bytes, token_hashes
 from voxstars.sources.staging import stage
 
-PARTS = 8
+PARTS = 4
 CROWDED = 64
 LONG = 64  # bytes of a word from which its CRC is taken alone
 
@@ -158,7 +159,7 @@ def _partition_hashes(points, bounds, parts):
     out = np.empty((len(size), parts), np.uint64)
     for p in range(parts):
         held = np.add.reduceat(np.where(dealt == p, element, np.uint64(0)), bounds[:-1])
-        out[:, p] = mixed(held + PRIME * np.uint64(p + 1))
+        out[:, p] = mixed(held + np.uint64(int(PRIME) * (p + 1) % (1 << 64)))
     return out
 
 
@@ -198,25 +199,34 @@ def _signed(parts, least):
     return run
 
 
+def _met(rows):
+    """Pairs of rows with one signature that are of a kind to be near, from one shuffle that both sides read.
+
+    The kinds are told by a sum over both sides, since a condition on one side would be moved below the
+    shuffle and make two of it. A merge join streams the pairs of a signature.
+    """
+    other = rows.select(F.col("sig"), *[F.col(c).alias(f"other_{c}") for c in ("side", "size", "word", "n")])
+    kind = F.col("side") * 3 + F.col("other_side")
+    fits = ((kind == 0) & (F.col("word") < F.col("other_word"))) | (kind == 5)
+    pairs = rows.join(other.hint("merge"), "sig").filter(fits & (F.abs(F.col("size") - F.col("other_size")) < 1))
+    near = pairs.filter(F.levenshtein("word", "other_word", 1) == 1)
+    return near.select("word", "n", F.col("other_word").alias("other"), F.col("other_n"))
+
+
 def near_words(words, least=6, parts=PARTS, crowded=CROWDED):
     """(word, n, other, other_n) for every two words of a written table (word, n) at edit distance one, both ways."""
     signed = words.select("word", "n").mapInArrow(_signed(parts, least), "sig long, side int, size int, word string, n long")
-    crowds = signed.groupBy("sig").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") > crowded).select("sig", F.lit(True).alias("crowd"))
+    signed = signed.filter("sig IS NOT NULL")  # a join adds this to some branches; all must be alike to share one shuffle
+    counted = signed.withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("sig")))
+    plain = counted.filter(F.col("held") <= crowded).drop("held")
     half = F.expr("size DIV 2")
     again = F.array(
         F.xxhash64("sig", F.lit("first"), F.expr("substring(word, 1, size DIV 2)")), F.xxhash64("sig", F.lit("last"), F.right("word", half))
     )
-    met = signed.join(crowds, "sig", "left").select(
-        F.explode(F.when(F.col("crowd"), again).otherwise(F.array("sig"))).alias("sig"), "side", "word", "n"
-    )
-    a = met.filter("side <> 2")
-    b = met.filter("side <> 1").select("sig", F.col("side").alias("other_side"), F.col("word").alias("other"), F.col("n").alias("other_n"))
-    kinds = F.expr("(side = 0 AND other_side = 0 AND word < other) OR (side = 1 AND other_side = 2)")
-    # A merge join streams one side of a signature; the table is many times the words, never a broadcast.
-    pairs = a.join(b.hint("merge"), "sig").filter(kinds).filter(F.levenshtein("word", "other", 1) == 1)
-    found = pairs.select("word", "n", "other", "other_n").distinct()
-    back = found.select(F.col("other").alias("word"), F.col("other_n").alias("n"), F.col("word").alias("other"), F.col("n").alias("other_n"))
-    return found.unionByName(back)
+    halved = counted.filter(F.col("held") > crowded).select(F.explode(again).alias("sig"), "side", "size", "word", "n")
+    found = _met(plain).unionByName(_met(halved)).distinct()
+    ways = F.array(F.struct("word", "n", "other", "other_n"), F.struct("other", "other_n", "word", "n"))
+    return found.select(F.inline(ways))
 
 
 def _roots(forms):

@@ -64,6 +64,8 @@ def _sums(d):
 
 def _centred(x, low, part):
     """x less the mean, whose whole part is ``low`` and whose rest is ``part``."""
+    if x.max(initial=0) >= MOST or x.min(initial=0) <= -MOST:
+        return x.astype(np.float64) - low.astype(np.float64) - part
     return (x - low).astype(np.float64) - part
 
 
