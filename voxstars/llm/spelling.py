@@ -225,8 +225,9 @@ def near_words(words, least=6, parts=PARTS, crowded=CROWDED):
     )
     halved = counted.filter(F.col("held") > crowded).select(F.explode(again).alias("sig"), "side", "size", "word", "n")
     found = _met(plain).unionByName(_met(halved)).distinct()
-    ways = F.array(F.struct("word", "n", "other", "other_n"), F.struct("other", "other_n", "word", "n"))
-    return found.select(F.inline(ways))
+    names = ("word", "n", "other", "other_n")
+    ways = [F.struct(*[F.col(c).alias(name) for c, name in zip(order, names)]) for order in (names, names[2:] + names[:2])]
+    return found.select(F.inline(F.array(*ways)))
 
 
 def _roots(forms):
