@@ -19,11 +19,33 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def exchanges(df):
+    return [line for line in plan(df).split("\n") if "Exchange hashpartitioning" in line]
+
+
 def test_dedup_cuts_copies_before_the_shuffle(spark, folder):
     text = plan(P.prepare(reviews_from_tables(spark, folder), P.REVENUE))
     assert text.count("WindowGroupLimit") == 2
-    shuffled = text.split("Exchange hashpartitioning(ProductId")[1].split("\n")[0]
-    assert all(k in shuffled for k in ("UserId", "Score", "Time", "Text"))
+    shuffled = [line for line in text.split("\n") if "Exchange hashpartitioning(ProductId" in line]
+    assert len(shuffled) == 1 and all(k in shuffled[0] for k in ("UserId", "Score", "Time", "Text"))
+
+
+def test_only_suspects_carry_their_text(spark, tmp_path, make):
+    """Over a stored table: one shuffle of hashes, one of suspects with text, and the other rows are not shuffled."""
+    make(dict(), dict(Text="b")).write.parquet(str(tmp_path / "r"))
+    out = P.dedup_reviews(P.fill_text_nulls(P.coerce_score(spark.read.parquet(str(tmp_path / "r")))))
+    text = plan(out)
+    shuffles = exchanges(out)
+    with_text = [x for x in shuffles if "Text#" in x]
+    assert len(with_text) == 1 and all("_groupingexpression#" in x or "_cell#" in x for x in shuffles if x not in with_text)
+    # The scan that finds suspects reads the four light columns only.
+    scans = [line.split("ReadSchema: ")[1] for line in text.split("\n") if "ReadSchema" in line]
+    assert sum("Text" not in s and "UserId" in s for s in scans) >= 1
+    # A job that needs no text reads it for suspects only.
+    scans = [line.split("ReadSchema: ")[1] for line in plan(A.kpis(out)).split("\n") if "ReadSchema" in line]
+    assert sum("Text" in s for s in scans) == 1
+    branch = plan(out).split("Union")[1].split("WindowGroupLimit")[0].split("Window ")[0]
+    assert "BroadcastHashJoin" in branch and "Exchange hashpartitioning(ProductId" not in branch
 
 
 def test_unread_columns_stay_below_the_shuffle(spark, folder):
@@ -41,6 +63,27 @@ def test_top_per_group_is_cut_before_the_shuffle(spark):
     assert plan(top_per_group(df, ["g"], [F.col("id")], 5, "id")).count("WindowGroupLimit") == 2
 
 
+@pytest.mark.parametrize("cell_bits", [1, 20])
+def test_two_phases_equal_one_window(spark, reviews, cell_bits):
+    """With one bit of cells nearly every row is a suspect; the result is the same."""
+    df = P.fill_text_nulls(P.coerce_score(reviews))
+    df = df.unionByName(df.filter("Id % 7 = 0").withColumn("Id", F.col("Id") + 1)).unionByName(
+        df.filter("Id % 11 = 0").withColumns({"Id": F.col("Id") + 2, "Text": F.concat("Text", F.lit("!"))})
+    )
+    df = df.withColumn("UserId", F.when(F.col("Id") % 5 > 0, F.col("UserId"))).withColumn("Score", F.when(F.col("Score") == 1, -0.0).otherwise(F.col("Score")))
+    want = P._first_of(df, S.REVIEW_KEY, S.ID)
+    got = P.dedup_reviews(df, cell_bits=cell_bits)
+    assert sorted(r[0] for r in got.select("Id").collect()) == sorted(r[0] for r in want.select("Id").collect())
+    assert got.columns == df.columns
+    marked = P.suspected_copies(df, ["ProductId", "UserId", "Score", "Time"], cell_bits)
+    assert marked.filter("_suspect").count() < df.count() or cell_bits == 1
+
+
+def test_zero_and_minus_zero_are_one_score(spark, make):
+    df = P.coerce_score(make(dict(Score="0.0"), dict(Score="-0.0"), dict(Score="0.0", Text="other")))
+    assert sorted(r[0] for r in P.dedup_reviews(df).select("Id").collect()) == [1, 3]
+
+
 def test_hot_copies_and_hot_product(spark, make):
     """A third of all rows is one copied review, another third one product."""
     base = make(dict()).drop("Id")

@@ -13,6 +13,9 @@ from voxstars import schema as S
 from voxstars.functions import columns as C
 
 
+CELL_BITS = 20  # the marks of possible copies take at most 2^20 x 16 bytes
+
+
 @dataclass(frozen=True)
 class Profile:
     name: str
@@ -61,16 +64,49 @@ def with_ratio(df, cap=None, one_becomes=None):
     return df.withColumn(S.RATIO, ratio)
 
 
-def dedup_reviews(df, key=S.REVIEW_KEY, order=S.ID):
+def _first_of(df, key, order):
+    """Row 1 of each window: Spark cuts every group to one row inside each map task before the shuffle
+    (WindowGroupLimit), so a review copied a billion times reaches its reducer as one row per task."""
+    first = Window.partitionBy(*key).orderBy(F.col(order).asc_nulls_last())
+    return df.withColumn("_copy", F.row_number().over(first)).filter("_copy = 1").drop("_copy")
+
+
+def _probe(df, columns):
+    """One hash of the columns that equal values share: -0.0 and 0.0 are one value, null is a value."""
+    kinds = dict(df.dtypes)
+    return F.xxhash64(*[F.col(c) + F.lit(0.0) if kinds[c] in ("double", "float") else F.col(c) for c in columns])
+
+
+def suspected_copies(df, columns, cell_bits=CELL_BITS):
+    """Mark in ``_suspect`` every row whose values in ``columns`` some other row has.
+
+    Rows are counted by one 8-byte hash. Hashes with several rows set their bit in a table of at most
+    2^cell_bits cells of 64 bits, which is broadcast and looked up where the rows are read. Other rows
+    that share a bit are marked too, so a mark means "compare", no mark means "has no copy".
+    """
+    split = [F.expr(f"shiftrightunsigned(_h, {64 - cell_bits})").alias("_cell"), F.expr("CAST(_h & 63 AS INT)").alias("_bit")]
+    several = df.groupBy(_probe(df, columns).alias("_h")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    cells = several.select(*split).groupBy("_cell").agg(F.expr("bit_or(shiftleft(1L, _bit))").alias("_bits"))
+    placed = df.withColumn("_h", _probe(df, columns)).select("*", *split)
+    marked = placed.join(F.broadcast(cells), "_cell", "left")  # at most 2^cell_bits rows
+    hit = F.coalesce(F.expr("getbit(_bits, _bit) = 1"), F.lit(False))
+    return marked.withColumn("_suspect", hit).drop("_h", "_cell", "_bit", "_bits")
+
+
+def dedup_reviews(df, key=S.REVIEW_KEY, order=S.ID, heavy=(S.TEXT,), cell_bits=CELL_BITS):
     """Keep the first row (smallest Id) of every group of equal reviews; nulls equal each other.
 
-    Because only row 1 of each window is kept, Spark cuts every group to one row inside each map
-    task before the shuffle (WindowGroupLimit), so a review copied a billion times reaches its
-    reducer as one row per task; partitioning by all key columns spreads a hot product or user.
-    Columns that a job never reads are pruned below the shuffle.
+    Two phases: the key without its heavy columns tells which rows may have a copy, from a scan that
+    does not read the texts. All others are kept where they are read, without a shuffle; only
+    suspects carry their text to the exact comparison. Columns that a job never reads are pruned in
+    every branch. A filter on key columns commutes with this: put it before, so that it reaches all scans.
     """
-    first = Window.partitionBy(*key).orderBy(F.col(order).asc_nulls_last())
-    return df.withColumn("_copy", F.row_number().over(first)).filter("_copy = 1").drop("_copy")
+    light = [c for c in key if c not in heavy]
+    if not light or len(light) == len(key):
+        return _first_of(df, key, order)
+    marked = suspected_copies(df, light, cell_bits)
+    alone = marked.filter(~F.col("_suspect")).drop("_suspect")
+    return alone.unionByName(_first_of(marked.filter("_suspect").drop("_suspect"), key, order))
 
 
 def voted(df):
