@@ -1,5 +1,6 @@
 """Review files: read the CSV once, keep the table as Parquet."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,22 +13,76 @@ MISSING = (
 )
 
 
+OPTIONS = {"quote": '"', "escape": '"', "multiLine": True}
+
+
+def without_missing(raw, missing=MISSING):
+    strings = [f.name for f in CSV_SCHEMA if isinstance(f.dataType, T.StringType)]
+    return raw.withColumns({c: F.when(~F.col(c).isin(list(missing)), F.col(c)) for c in strings})
+
+
 def read_reviews(spark, path, missing=MISSING, multi_line=True):
     """Review CSV with a header, quoted fields and doubled quotes.
 
-    ``multi_line`` reads fields with line breaks; such files are not split, so give many files or
-    convert once with ``write_reviews`` and read Parquet afterwards. Texts in ``missing`` are null.
+    ``multi_line`` reads fields with line breaks; such files are not split, so give many files, or read
+    large ones with ``read_split_reviews``. Texts in ``missing`` are null.
+    """
+    raw = spark.read.schema(CSV_SCHEMA).option("header", True).options(**{**OPTIONS, "multiLine": multi_line}).csv(path)
+    return without_missing(raw, missing)
+
+
+def split_records(spark, path):
+    """(file, record) for every record of CSV files whose quoted fields may hold line breaks, read in splits.
+
+    A line break ends a record if the quotes before it in the file are even in number; doubled quotes
+    keep the count right. One scan counts the quotes of each split, and a running sum over the splits of
+    a file, a table of one row per split, tells how each begins. Then the lines of a split are put
+    together in their order. What a split holds before its first record belongs to the last record of
+    an earlier split and is joined to it: at most one piece a split. Header records are left out.
+    A quote inside a field that is not quoted is no CSV and would shift the count.
     """
-    raw = (
-        spark.read.schema(CSV_SCHEMA)
-        .option("header", True)
-        .option("multiLine", multi_line)
-        .option("quote", '"')
-        .option("escape", '"')
-        .csv(path)
+    place = F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split")
+    lines = spark.read.option("lineSep", "\n").text(path).select(*place, F.col("value"), F.monotonically_increasing_id().alias("line"))
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    starts = lines.groupBy("file", "split").agg(F.sum(quotes).alias("quotes"))
+    starts = starts.select("file", "split", F.coalesce(F.sum("quotes").over(earlier), F.lit(0)).alias("before"))
+
+    in_split = Window.partitionBy("file", "split").orderBy("line")
+    inside = F.coalesce(F.sum(quotes).over(in_split.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # One row per split, some hundred bytes for as many megabytes of input.
+    known = lines.withColumn("inside", inside).join(F.broadcast(starts), ["file", "split"])
+    opened = F.max(F.when((F.col("before") + F.col("inside")) % 2 == 0, F.col("line"))).over(in_split)
+    marked = known.withColumn("record", opened)
+    pieces = marked.groupBy("file", "split", "record").agg(F.array_sort(F.collect_list(F.struct("line", "value"))).alias("lines"))
+    pieces = pieces.select("file", "split", "record", F.array_join(F.transform("lines", lambda x: x["value"]), "\n").alias("text"))
+    whole = Window.partitionBy("file", "split").orderBy(F.col("record").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    pieces = pieces.withColumn("first", F.min("record").over(whole)).withColumn("last", F.max("record").over(whole))
+
+    inner = pieces.filter("record < last")
+    ends = pieces.filter("record IS NULL OR record = last").select("file", "split", "record", "first", "text")  # at most two a split
+    order = Window.partitionBy("file").orderBy("split", F.col("record").asc_nulls_first())
+    owner = F.count("record").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    owned = ends.withColumn("owner", owner).groupBy("file", "owner").agg(
+        F.array_sort(F.collect_list(F.struct("split", F.col("record").isNotNull().alias("opens"), "text", "record", "first"))).alias("parts")
     )
-    strings = [f.name for f in CSV_SCHEMA if isinstance(f.dataType, T.StringType)]
-    return raw.withColumns({c: F.when(~F.col(c).isin(list(missing)), F.col(c)) for c in strings})
+    opener = F.element_at(F.filter("parts", lambda x: x["opens"]), 1)
+    joined = owned.select(
+        "file", opener["split"].alias("split"), opener["record"].alias("record"), opener["first"].alias("first"),
+        # A piece of a later split follows the line break that the split before it ended with.
+        F.array_join(F.transform("parts", lambda x: x["text"]), "\n").alias("text"),
+    )
+    records = inner.select("file", "split", "record", "first", "text").unionByName(joined)
+    header = (F.col("split") == 0) & (F.col("record") == F.col("first"))
+    text = F.regexp_replace("text", "\\r$", "")
+    return records.filter(~header).select("file", text.alias("record")).filter("record <> ''")
+
+
+def read_split_reviews(spark, path, missing=MISSING):
+    """Review CSV like ``read_reviews``, with large files read by many tasks; equal rows for well-formed files."""
+    options = {k: str(v).lower() for k, v in OPTIONS.items()}
+    parsed = split_records(spark, path).select(F.from_csv("record", CSV_SCHEMA.simpleString()[7:-1].replace(":", " "), options).alias("r"))
+    return without_missing(parsed.select("r.*"), missing)
 
 
 def write_reviews(df, path, mode="errorifexists"):
