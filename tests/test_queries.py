@@ -8,15 +8,7 @@ from voxstars.plans.catalogue import QUERIES
 from voxstars.plans.oracle import ORACLE
 
 WITHOUT_SQL = {
-    "f7_sample_rows": {"Id", "Score", "ReviewLength"},
-    "f8_length_vs_helpfulness": {"Id", "ReviewLength", "HelpfulnessRatio", "Score", "Summary", "text_md5"},
-    "m1_score_sentiment": {"Id", "True_Sentiment_Category", "Predicted_Sentiment_ML"},
-    "m2_predicted_distribution": {"Predicted_Sentiment_ML", "reviews"},
-    "m3_classification_report_model": {"label", "precision", "recall", "f1", "support"},
-    "m5_score_text": {"doc_id", "Predicted_Sentiment_ML", "Lexicon_Sentiment"},
-    "m6_score_rating": {"Id", "Score", "PredictedRating"},
     "m7_fit_models": {"model", "outputs", "features", "iterations"},
-    "n6_word_frequencies_by_predicted_class": {"Predicted_Sentiment_ML", "rank", "word", "n"},
 }
 
 

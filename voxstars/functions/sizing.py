@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from voxstars.sources.staging import stage
+
 MAX_ROWS = 1_000_000
 MAX_BYTES = 64 << 20
 SALTS = 32
@@ -37,8 +39,10 @@ def salted_join(left, right, key, how, spread_by, salts=SALTS):
 def lookup_join(left, lookup, key, spread_by):
     """Left join with a lookup table: broadcast when measured small, otherwise shuffled with salt.
 
-    The second way asks for a merge join, since a planner's estimate must not undo the measurement.
+    The lookup is written first, so measuring and joining read it instead of computing it twice. The
+    second way asks for a merge join, since a planner's estimate must not undo the measurement.
     """
+    lookup = stage(lookup)
     if is_small(lookup):
         return left.join(F.broadcast(lookup), key, "left")
     return salted_join(left, lookup.hint("merge"), key, "left", spread_by)

@@ -8,6 +8,7 @@ from voxstars.functions import columns as C
 from voxstars.functions.sizing import salted_join
 
 CELL_BITS = 20
+DRAW_BITS = 60
 
 
 def filter_score_range(df, lo, hi):
@@ -31,10 +32,14 @@ def keyword_count(df, query, literal=False):
     return keyword_matches(df, query, literal).agg(F.count(F.lit(1)).alias("matches"))
 
 
+def newest(df, k=10):
+    found = df.orderBy(F.col(S.TIME).desc_nulls_last(), S.ID).limit(k)
+    return found.select(S.ID, S.TIME, S.SCORE, S.RATIO, S.SUMMARY, S.TEXT)
+
+
 def keyword_search(df, query, k=10, literal=False):
     """The newest k matches."""
-    found = keyword_matches(df, query, literal).orderBy(F.col(S.TIME).desc_nulls_last(), S.ID).limit(k)
-    return found.select(S.ID, S.TIME, S.SCORE, S.RATIO, S.SUMMARY, S.TEXT)
+    return newest(keyword_matches(df, query, literal), k)
 
 
 def semi_join_min_count(df, key, minimum):
@@ -75,15 +80,21 @@ def recent_reviews(df, wanted, k=20):
     return kept.select(S.ID, S.TIME, S.SCORE, S.RATIO, S.SUMMARY, S.TEXT)
 
 
+def draw_number(key, seed):
+    """A number of 60 bits that any engine with MD5 can repeat: the first 15 hex digits of MD5("key:seed")."""
+    text = F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("bigint")
+
+
 def sample_rows(df, n, seed=42, key=S.ID):
     """n rows without replacement, or all when there are no more; the same rows on every run.
 
-    The sample is the n smallest (hash of the id, id). A histogram over the leading hash bits finds
+    The sample is the n smallest (number drawn for the id, id). A histogram over the leading bits finds
     the cell with the n-th row, only that cell's ids are ranked, and the rows are then filtered by
     that one pair. So no task holds the sample, whatever its size. Ids must be unique.
     """
-    h = F.xxhash64(F.col(key), F.lit(seed))
-    hashed = df.select(h.alias("h"), F.col(key).alias("k")).withColumn("cell", F.shiftright("h", 64 - CELL_BITS))
+    h = draw_number(key, seed)
+    hashed = df.select(h.alias("h"), F.col(key).alias("k")).withColumn("cell", F.shiftright("h", DRAW_BITS - CELL_BITS))
     running = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
     cells = hashed.groupBy("cell").agg(F.count(F.lit(1)).alias("c")).withColumn("upto", F.sum("c").over(running))
     cut = cells.filter((F.col("upto") >= n) & (F.col("upto") - F.col("c") < n)).select(

@@ -10,18 +10,23 @@ from pyspark.sql import functions as F
 
 from voxstars import schema as S
 from voxstars.functions import columns as C
+from voxstars.operators import bayes as B
+from voxstars.operators import distinct as D
 from voxstars.operators import leaders as K
+from voxstars.operators import leastsquares as L
 from voxstars.operators import metrics as A
 from voxstars.operators import models as M
 from voxstars.operators import prepare as P
 from voxstars.operators import search as Q
 from voxstars.operators import segments as G
+from voxstars.operators import state as Z
 from voxstars.operators import text as N
 from voxstars.operators import trends as T
+from voxstars.operators import wordindex as X
 from voxstars.session import shared_folder
 from voxstars.sources import vocabulary
-from voxstars.sources.csv import read_reviews
-from voxstars.sources.staging import stage
+from voxstars.sources.csv import read_reviews, read_split_reviews
+from voxstars.sources.staging import shared_path, stage
 from voxstars.sources.tables import reviews_from_tables
 
 QUERIES = {}
@@ -70,14 +75,26 @@ def rounded(c, digits=9):
 # --- sources and preparation -------------------------------------------------------------------
 
 
-@table_query("p1_read_reviews")
-def read_back(spark, folder):
+def _csv_of(spark, folder):
     path = f"{shared_folder(spark)}/reviews-{uuid.uuid4().hex}.csv"
     raw = reviews_from_tables(spark, folder).withColumn(S.PROFILE_NAME, F.lit(None).cast("string"))
     plain = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
     raw.select(*FILE_COLUMNS).write.options(**plain).csv(path)
-    read = P.coerce_score(read_reviews(spark, path))
-    return read.withColumn(S.TEXT, F.md5(S.TEXT)).select(*FILE_COLUMNS)
+    return path
+
+
+def _read(reviews):
+    return P.coerce_score(reviews).withColumn(S.TEXT, F.md5(S.TEXT)).select(*FILE_COLUMNS)
+
+
+@table_query("p1_read_reviews")
+def read_back(spark, folder):
+    return _read(read_reviews(spark, _csv_of(spark, folder)))
+
+
+@table_query("p1_read_split_reviews")
+def read_back_split(spark, folder):
+    return _read(read_split_reviews(spark, _csv_of(spark, folder)))
 
 
 @query("p2_drop_columns")
@@ -244,7 +261,7 @@ def product_performance(raw):
 
 @query("a14_performance_thresholds")
 def performance_thresholds(raw):
-    out = A.performance_thresholds(_performance(raw))
+    out = A.performance_thresholds(stage(_performance(raw)))  # read by the histogram and by the cells
     return out.select(*[rounded(c) for c in out.columns])
 
 
@@ -325,7 +342,8 @@ def product_monthly_score(raw):
 
 @query("t8_one_product_monthly_score")
 def one_product_monthly_score(raw):
-    out = T.product_monthly_score(P.prepare(raw, P.SENTIMENT), PRODUCT_ID)
+    one = raw.filter(F.col(S.PRODUCT) == PRODUCT_ID)  # equal reviews have equal products
+    out = T.product_monthly_score(P.prepare(one, P.SENTIMENT), PRODUCT_ID)
     return out.select(S.PRODUCT, text_of(T.MONTH), rounded("avg_score"))
 
 
@@ -341,6 +359,75 @@ def trend_direction(raw):
     return T.trend_direction(trend).select(rounded("start_avg"), rounded("end_avg"), "direction")
 
 
+# --- from the monthly state --------------------------------------------------------------------
+
+
+def _state(raw):
+    path = shared_path(raw.sparkSession, "state")
+    Z.write_months(Z.monthly_state(P.prepare(raw, P.REVENUE)), path)
+    return Z.load_state(raw.sparkSession, path)
+
+
+@query("t2_monthly_volume_from_state")
+def monthly_volume_from_state(raw):
+    return Z.monthly_volume(_state(raw)).select(text_of(T.MONTH), "reviews")
+
+
+@query("t3_monthly_avg_score_from_state")
+def monthly_avg_score_from_state(raw):
+    return _trend(Z.monthly_avg_score(_state(raw)), "avg_score")
+
+
+@query("t5_helpfulness_last_5_years_from_state")
+def helpfulness_last_5_years_from_state(raw):
+    return _trend(T.last_n_years(Z.monthly_helpfulness(_state(raw)), 5), "avg_helpfulness")
+
+
+@query("t7_period_avg_score_from_state")
+def period_avg_score_from_state(raw):
+    return T.period_avg_score(T.last_n_years(Z.monthly_avg_score(_state(raw)), 3)).select(rounded("avg_score"))
+
+
+@query("t8_product_monthly_score_from_state")
+def product_monthly_score_from_state(raw):
+    return Z.product_monthly_score(_state(raw)).select(S.PRODUCT, text_of(T.MONTH), rounded("avg_score"))
+
+
+@query("t9_product_current_score_from_state")
+def product_current_score_from_state(raw):
+    out = T.product_current_score(Z.product_monthly_score(_state(raw)))
+    return out.select(S.PRODUCT, text_of(T.MONTH), rounded("current_score"))
+
+
+@query("a2_score_distribution_from_state")
+def score_distribution_from_state(raw):
+    return Z.score_distribution(_state(raw))
+
+
+@query("a13_product_performance_from_state")
+def product_performance_from_state(raw):
+    return Z.product_performance(_state(raw)).select(
+        S.PRODUCT, rounded("AverageScore"), "ReviewCount", rounded("AverageHelpfulnessRatio")
+    )
+
+
+def _kpi_tables(raw):
+    prepared = stage(P.prepare(raw, P.REVENUE).select(S.PRODUCT, S.USER, S.SCORE, S.TIME, S.VOTES_UP, S.VOTES_ALL, S.RATIO))
+    bitmaps = [stage(D.distinct_bitmaps(prepared, c, D.dense_ids(prepared.select(c)))) for c in (S.PRODUCT, S.USER)]
+    return stage(Z.monthly_state(prepared)), *bitmaps
+
+
+@query("a1_kpis_from_state")
+def kpis_from_state(raw):
+    return D.kpis(*_kpi_tables(raw)).withColumn("avg_score", F.round("avg_score", 9))
+
+
+@query("a1_kpis_last_3_years_from_state")
+def kpis_last_3_years(raw):
+    out = D.kpis(*[T.last_n_years(t.filter(F.col(T.MONTH).isNotNull()), 3) for t in _kpi_tables(raw)])
+    return out.withColumn("avg_score", F.round("avg_score", 9))
+
+
 # --- filters, search, leaderboards -------------------------------------------------------------
 
 
@@ -374,6 +461,23 @@ def keyword_count_literal(raw):
     return Q.keyword_count(P.prepare(raw, P.SHARED), " the the", literal=True)
 
 
+def _indexed(raw, profile):
+    reviews = stage(P.prepare(raw, profile))
+    path = shared_path(raw.sparkSession, "index")
+    X.build_index(reviews, path)
+    return reviews, raw.sparkSession.read.parquet(path)
+
+
+@query("f2_keyword_search_indexed")
+def keyword_search_indexed(raw):
+    return _reviews(Q.newest(X.indexed_matches(*_indexed(raw, P.ADVANCED), KEYWORD)))
+
+
+@query("f2_keyword_count_indexed")
+def keyword_count_indexed(raw):
+    return X.indexed_matches(*_indexed(raw, P.SHARED), " the the", literal=True).agg(F.count(F.lit(1)).alias("matches"))
+
+
 @query("f3_semi_join_products")
 def semi_join_products(raw):
     return Q.semi_join_min_count(P.prepare(raw, P.PRODUCT_USER), S.PRODUCT, 30).select(S.ID, S.PRODUCT)
@@ -394,25 +498,32 @@ def least_helpful_reviews(raw):
     return _reviews(Q.least_helpful_reviews(P.prepare_helpfulness(raw)[1]))
 
 
+def _reviews_of(raw, wanted):
+    # Product and user are part of the key of equal reviews, so the filter may come first.
+    rows = raw.filter((F.col(S.PRODUCT) == wanted) | (F.col(S.USER) == wanted))
+    return _reviews(Q.recent_reviews(P.prepare(rows, P.PRODUCT_USER), wanted))
+
+
 @query("f6_recent_reviews_product")
 def recent_reviews_product(raw):
-    return _reviews(Q.recent_reviews(P.prepare(raw, P.PRODUCT_USER), PRODUCT_ID))
+    return _reviews_of(raw, PRODUCT_ID)
 
 
 @query("f6_recent_reviews_user")
 def recent_reviews_user(raw):
-    return _reviews(Q.recent_reviews(P.prepare(raw, P.PRODUCT_USER), USER_ID))
+    return _reviews_of(raw, USER_ID)
 
 
 @query("f7_sample_rows")
 def sample_rows(raw):
-    return Q.sample_rows(P.prepare(raw, P.SHARED), 10000).select(S.ID, S.SCORE, S.LENGTH)
+    out = Q.sample_rows(P.prepare(raw, P.SHARED), 10000)
+    return out.select(S.ID, S.SCORE, F.col(S.LENGTH).cast("bigint").alias(S.LENGTH))
 
 
 @query("f8_length_vs_helpfulness")
 def length_vs_helpfulness(raw):
     return Q.length_vs_helpfulness(stage(P.prepare(raw, P.ADVANCED)), 50000).select(
-        S.ID, S.LENGTH, S.RATIO, S.SCORE, S.SUMMARY, digest(S.TEXT)
+        S.ID, F.col(S.LENGTH).cast("bigint").alias(S.LENGTH), rounded(S.RATIO), S.SCORE, S.SUMMARY, digest(S.TEXT)
     )
 
 
@@ -575,13 +686,26 @@ def _models(spark, folder):
     return _fitted[key]
 
 
+def _shared(spark, folder):
+    return P.prepare(reviews_from_tables(spark, folder), P.SHARED)
+
+
+def _bayes(spark, folder):
+    """Naive Bayes on all reviews, once per session and folder."""
+    key = (spark.sparkContext.applicationId, folder, "bayes")
+    if key not in _fitted:
+        _fitted[key] = B.fit_bayes(_shared(spark, folder))
+    return _fitted[key]
+
+
 def _scored(spark, folder):
-    return M.score_sentiment(_models(spark, folder)[0], P.prepare(reviews_from_tables(spark, folder), P.SHARED))
+    found = B.bayes_scores(_bayes(spark, folder), _shared(spark, folder), keep=(S.TRUE_SENTIMENT,))
+    return found.select(S.ID, S.TRUE_SENTIMENT, S.PREDICTED)
 
 
 @table_query("m1_score_sentiment")
 def score_sentiment(spark, folder):
-    return _scored(spark, folder).select(S.ID, S.TRUE_SENTIMENT, S.PREDICTED)
+    return _scored(spark, folder)
 
 
 @table_query("m2_predicted_distribution")
@@ -603,7 +727,8 @@ def classification_report(raw):
 
 @table_query("m3_classification_report_model")
 def classification_report_model(spark, folder):
-    return M.classification_report(_scored(spark, folder))
+    out = M.classification_report(_scored(spark, folder))
+    return out.select("label", rounded("precision"), rounded("recall"), rounded("f1"), "support")
 
 
 @query("m4_confusion_matrix")
@@ -614,13 +739,14 @@ def confusion_matrix(raw):
 @table_query("m5_score_text")
 def score_text(spark, folder):
     texts = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
-    return M.score_text(_models(spark, folder)[0], vocabulary.lexicon(spark, folder), texts, "doc_id")
+    return M.score_text(_bayes(spark, folder), vocabulary.lexicon(spark, folder), texts, "doc_id")
 
 
 @table_query("m6_score_rating")
 def score_rating(spark, folder):
-    reviews = P.prepare(reviews_from_tables(spark, folder), P.SHARED)
-    return M.score_rating(_models(spark, folder)[1], reviews).select(S.ID, S.SCORE, M.RATING)
+    reviews = _shared(spark, folder)
+    model = L.fit_least_squares(reviews)
+    return L.score_least_squares(model, reviews).select(S.ID, S.SCORE, F.col(M.RATING).cast("bigint").alias(M.RATING))
 
 
 @query("m6_clamp_rating")
@@ -640,6 +766,19 @@ def fit_models(spark, folder):
     return spark.createDataFrame(rows, "model string, outputs int, features int, iterations int")
 
 
+@table_query("m7_fit_bayes")
+def fit_bayes(spark, folder):
+    model = _bayes(spark, folder)
+    return model.summary().withColumn("vocabulary", F.lit(model.vocabulary).cast("bigint"))
+
+
+@table_query("m7_fit_rating")
+def fit_rating(spark, folder):
+    model = L.fit_least_squares(_shared(spark, folder))
+    return L.coefficient_table(spark, model).select("term", rounded("coefficient", 12))
+
+
 @table_query("n6_word_frequencies_by_predicted_class")
 def word_frequencies_by_predicted_class(spark, folder):
-    return N.word_frequencies_by_class(_scored(spark, folder))
+    out = N.word_frequencies_by_class(B.score_bayes(_bayes(spark, folder), _shared(spark, folder)))
+    return out.withColumn("rank", F.col("rank").cast("bigint"))

@@ -1,5 +1,7 @@
 """The same queries in DuckDB's SQL, over the given tables as views."""
 
+import re
+
 from voxstars.functions.stopwords import ENGLISH
 from voxstars.plans.catalogue import ACCENTED, KEYWORD, MIN_USER_REVIEWS, PRODUCT_ID, USER_ID
 from voxstars import schema as S
@@ -333,4 +335,121 @@ BODIES["m3_classification_report"] = """SELECT label, round(p, 9) AS precision,
     round(sum(r * support) / sum(support), 9), round(sum(f * support) / sum(support), 9),
     CAST(sum(support) AS BIGINT) FROM report"""
 
+# Texts repeat, so words are taken once per distinct text and weighed by the rows that have it.
+TEXTS = """, texts AS MATERIALIZED (
+    SELECT Text, row_number() OVER () AS tid FROM (SELECT DISTINCT Text FROM shared)
+  ), text_rows AS MATERIALIZED (SELECT Id, truth, tid FROM shared JOIN texts USING (Text))"""
+BODIES["p12_voted_reviews"] = """SELECT Id, 'deduplicated' AS form FROM (
+      SELECT min(Id) AS Id, arg_min(den, Id) AS den FROM filled GROUP BY ProductId, UserId, Score, secs, Text)
+    WHERE den > 0
+    UNION ALL SELECT Id, 'with copies' FROM voted"""
+EXTRA["n2_clean_text_alpha"] = TEXTS + f""", cleaned AS (SELECT tid, md5(array_to_string(
+    [w FOR w IN {split(letters('Text'))} IF NOT list_contains([{STOP}], w)], ' ')) AS clean_md5 FROM texts)"""
+BODIES["n2_clean_text_alpha"] = "SELECT Id, clean_md5 FROM text_rows JOIN cleaned USING (tid)"
+EXTRA["n7_lexicon_sentiment"] = TEXTS + f""", vocabulary AS ({VOCABULARY}), hits AS (
+    SELECT tid, avg(((length(t.word) * 7) % 9 - 4) / 4.0) AS polarity
+    FROM (SELECT tid, unnest({split(plain('Text'))}) AS word FROM texts) AS t JOIN vocabulary USING (word) GROUP BY tid),
+    means AS (SELECT Id, round(coalesce(polarity, 0.0), 9) AS polarity FROM text_rows LEFT JOIN hits USING (tid))"""
+
+DRAWN = "CAST('0x' || substr(md5(CAST(Id AS VARCHAR) || ':42'), 1, 15) AS BIGINT)"
+BODIES["f7_sample_rows"] = f"SELECT Id, Score, len AS ReviewLength FROM shared ORDER BY {DRAWN}, Id LIMIT 10000"
+BODIES["f8_length_vs_helpfulness"] = f"""SELECT Id, len AS ReviewLength, round(ratio, 9) AS HelpfulnessRatio, Score, Summary,
+    md5(Text) AS text_md5 FROM advanced ORDER BY {DRAWN}, Id LIMIT 50000"""
+
+CLASSES = list(enumerate(S.SENTIMENTS))
+
+
+def weight(part, whole):
+    return f"CAST(round(ln(({part} + 1.0) / ({whole})) * 1000000) AS BIGINT)"
+
+
+BAYES = TEXTS + f""", bag AS MATERIALIZED (
+    SELECT tid, word, count(*) AS c FROM (SELECT tid, unnest({split(letters('Text'))}) AS word FROM texts)
+    WHERE word NOT IN ({STOP}) GROUP BY ALL
+  ), times AS (SELECT tid, truth, count(*) AS m FROM text_rows GROUP BY ALL
+  ), counts AS MATERIALIZED (SELECT word, {", ".join(
+      f"coalesce(sum(c * m) FILTER (truth = '{c}'), 0) AS n_{i}" for i, c in CLASSES)}
+    FROM bag JOIN times USING (tid) GROUP BY word
+  ), totals AS (SELECT count(*) AS v, {", ".join(f"sum(n_{i}) AS all_{i}" for i, _ in CLASSES)} FROM counts
+  ), weights AS MATERIALIZED (SELECT word, {", ".join(f"{weight(f'n_{i}', f'all_{i} + v')} AS w_{i}" for i, _ in CLASSES)}
+    FROM counts, totals
+  ), documents_of AS (SELECT {", ".join(f"count(*) FILTER (truth = '{c}') AS d_{i}" for i, c in CLASSES)}, count(*) AS d
+    FROM text_rows
+  ), priors AS (SELECT {", ".join(f"{weight(f'd_{i}', f'd + {len(CLASSES)}')} AS p_{i}" for i, _ in CLASSES)} FROM documents_of)"""
+
+
+def bayes_class(bag, texts, key):
+    """Predicted class per key of a table of texts, given its words."""
+    sums = ", ".join(f"coalesce(sum(c * w_{i}), 0) + any_value(p_{i}) AS s_{i}" for i, _ in CLASSES)
+    return f"""SELECT {key}, CASE WHEN s_0 = greatest(s_0, s_1, s_2) THEN '{S.SENTIMENTS[0]}'
+        WHEN s_1 = greatest(s_0, s_1, s_2) THEN '{S.SENTIMENTS[1]}' ELSE '{S.SENTIMENTS[2]}' END AS predicted
+      FROM (SELECT t.{key}, {sums} FROM {texts} AS t CROSS JOIN priors
+        LEFT JOIN ({bag}) AS b USING ({key}) LEFT JOIN weights USING (word) GROUP BY t.{key})"""
+
+
+SCORED = BAYES + f""", classed AS ({bayes_class('SELECT * FROM bag', 'texts', 'tid')}
+  ), scored AS MATERIALIZED (SELECT Id, tid, truth AS y, predicted AS p FROM text_rows JOIN classed USING (tid))"""
+EXTRA["m1_score_sentiment"] = EXTRA["m2_predicted_distribution"] = SCORED
+BODIES["m1_score_sentiment"] = "SELECT Id, y AS True_Sentiment_Category, p AS Predicted_Sentiment_ML FROM scored"
+BODIES["m2_predicted_distribution"] = "SELECT p AS Predicted_Sentiment_ML, count(*) AS reviews FROM scored GROUP BY p"
+EXTRA["m3_classification_report_model"] = SCORED + EXTRA["m3_classification_report"].replace(f"judged AS ({JUDGED})", "judged AS (SELECT y, p FROM scored)")
+BODIES["m3_classification_report_model"] = BODIES["m3_classification_report"]
+EXTRA["n6_word_frequencies_by_predicted_class"] = SCORED
+BODIES["n6_word_frequencies_by_predicted_class"] = """SELECT p AS Predicted_Sentiment_ML,
+    row_number() OVER (PARTITION BY p ORDER BY n DESC, word) AS rank, word, n FROM (
+      SELECT p, word, CAST(sum(c * m) AS BIGINT) AS n FROM bag JOIN (
+        SELECT tid, p, count(*) AS m FROM scored GROUP BY ALL) USING (tid) GROUP BY ALL) QUALIFY rank <= 200"""
+EXTRA["m5_score_text"] = BAYES + f""", vocabulary AS ({VOCABULARY}), own AS (SELECT doc_id, coalesce(text, '') AS t FROM documents
+  ), own_bag AS (SELECT doc_id, word, count(*) AS c FROM (SELECT doc_id, unnest({split(letters('t'))}) AS word FROM own) GROUP BY ALL
+  ), own_class AS ({bayes_class('SELECT * FROM own_bag', 'own', 'doc_id')}
+  ), own_mean AS (SELECT doc_id, avg(((length(w.word) * 7) % 9 - 4) / 4.0) AS polarity
+    FROM (SELECT doc_id, unnest({split(plain('t'))}) AS word FROM own) AS w JOIN vocabulary USING (word) GROUP BY doc_id)"""
+BODIES["m5_score_text"] = """SELECT doc_id, predicted AS Predicted_Sentiment_ML,
+    CASE WHEN round(coalesce(polarity, 0), 9) > 0.05 THEN 'Positive' WHEN round(coalesce(polarity, 0), 9) < -0.05 THEN 'Negative'
+    ELSE 'Neutral' END AS Lexicon_Sentiment FROM own_class LEFT JOIN own_mean USING (doc_id)"""
+EXTRA["m7_fit_bayes"] = BAYES
+BODIES["m7_fit_bayes"] = " UNION ALL ".join(
+    f"SELECT '{c}' AS class, d_{i} AS documents, CAST(all_{i} AS BIGINT) AS words, p_{i} AS prior, v AS vocabulary FROM documents_of, totals, priors"
+    for i, c in CLASSES
+)
+
+# Normal equations of stars on length (a), helpful votes (b) and votes (c), centred, by Cramer's rule.
+PAIRS = ("aa", "ab", "ac", "bb", "bc", "cc", "az", "bz", "cz")
+DET = "({0} * ({4} * {8} - {5} * {7}) - {1} * ({3} * {8} - {5} * {6}) + {2} * ({3} * {7} - {4} * {6}))"
+GRID = ("aa", "ab", "ac", "ab", "bb", "bc", "ac", "bc", "cc")
+
+
+def cramer(at):
+    """Determinant of the equations with one column replaced, over that of the equations."""
+    grid = [f"{'abc'[i // 3]}z" if i % 3 == at else GRID[i] for i in range(9)]
+    return f"{DET.format(*grid)} / {DET.format(*GRID)}"
+
+
+RATING_MODEL = f""", numbers AS (SELECT CAST(len AS HUGEINT) AS a, CAST(num AS HUGEINT) AS b, CAST(den AS HUGEINT) AS c,
+    CAST(Score AS HUGEINT) AS z FROM shared
+  ), raw_sums AS (SELECT CAST(count(*) AS HUGEINT) AS n, {", ".join(f"CAST(sum({x}) AS HUGEINT) AS {x}" for x in "abcz")},
+    {", ".join(f"CAST(sum({x[0]} * {x[1]}) AS HUGEINT) AS {x}" for x in PAIRS)} FROM numbers
+  ), centred AS (SELECT n, a, b, c, z, {", ".join(f"CAST(n * {x} - {x[0]} * {x[1]} AS DOUBLE) AS {x}_" for x in PAIRS)} FROM raw_sums
+  ), solved AS (SELECT n, a, b, c, z, {", ".join(f"{re.sub('([abcz]{2})', chr(92) + '1_', cramer(i))} AS k_{x}" for i, x in enumerate("abc"))} FROM centred
+  ), model AS (SELECT *, (z - k_a * a - k_b * b - k_c * c) / n AS k_0 FROM solved)"""
+EXTRA["m6_score_rating"] = EXTRA["m7_fit_rating"] = RATING_MODEL
+BODIES["m6_score_rating"] = """SELECT Id, Score, CAST(greatest(1, least(5, round_even(k_0 + len * k_a + num * k_b + den * k_c, 0))) AS BIGINT)
+    AS PredictedRating FROM shared, model"""
+BODIES["m7_fit_rating"] = " UNION ALL ".join(
+    f"SELECT '{term}' AS term, round({k}, 12) AS coefficient FROM model"
+    for term, k in zip(("(intercept)", S.LENGTH, S.VOTES_UP, S.VOTES_ALL), ("k_0", "k_a", "k_b", "k_c"))
+)
+
+for name in ("t2_monthly_volume", "t3_monthly_avg_score", "t5_helpfulness_last_5_years", "t7_period_avg_score",
+             "t8_product_monthly_score", "t9_product_current_score", "a2_score_distribution", "a13_product_performance"):
+    BODIES[f"{name}_from_state"] = BODIES[name]
+
+BODIES["p1_read_split_reviews"] = BODIES["p1_read_reviews"]
+BODIES["f2_keyword_search_indexed"] = BODIES["f2_keyword_search"]
+BODIES["f2_keyword_count_indexed"] = BODIES["f2_keyword_count_literal"]
+BODIES["a1_kpis_from_state"] = BODIES["a1_kpis"]
+BODIES["a1_kpis_last_3_years_from_state"] = f"""SELECT count(*) AS total_reviews, count(DISTINCT ProductId) AS unique_products,
+    count(DISTINCT UserId) AS unique_customers, round(avg(Score), 9) AS avg_score
+    FROM ({last_years(f"SELECT {month()} AS Month, * FROM dedup WHERE secs IS NOT NULL", 3)})"""
+
 ORACLE = {name: f"{TABLES}{EXTRA.get(name, '')}\n{body}" for name, body in BODIES.items()}
