@@ -5,12 +5,13 @@ import random
 
 import pytest
 from helpers import make_docs
+from pyspark.sql import functions as F
 from test_repeats import brute as brute_repeats
 from test_simhash import fingerprint, roots
 
 import corpus_pipeline
 from __spark_entry__ import oracle_sql, queries
-from voxstars.llm import decontamination
+from voxstars.llm import decontamination, mixing
 from voxstars.sources.staging import stage
 
 STAGE = dict(corpus_pipeline.STAGES)
@@ -105,6 +106,34 @@ def test_near_copies_go_by_row_where_ids_repeat(spark):
     assert got == sorted([(1, one), (5, two), (5, None), (7, three), (7, three), (None, one)], key=str)
 
 
+def test_mixing_keeps_the_figures_of_rows_with_shared_ids(spark):
+    text = lambda n: " ".join(f"w{i}" for i in range(n))
+    rows = [(1, text(600), "a"), (1, text(150), "a"), (2, text(900), "b")]
+    rows += [(None, text(40 + i), "b") for i in range(30)] + [(None, text(77), "a")] * 5 + [(None, "", "a"), (3, None, "b")]
+    docs = make_docs(spark, rows).withColumn("_id", F.lit(5)).withColumn("mix_taken", F.lit("old")).withColumn("file", F.lit("f"))
+    got = STAGE["mixing sources to target weights"](spark, docs, "")
+    assert set(got.columns) == set(docs.columns) | {"mix_size", "mix_source_size", "mix_target", "mix_taken"}
+    found = got.collect()
+    assert all(r["mix_size"] == len(r["text"].split()) and 0 < r["mix_taken"] <= 3 * r["mix_size"] and r["_id"] == 5 for r in found)
+    mixed = mixing.mix(docs).filter("taken > 0")
+    assert len(found) <= len(rows) - 2
+    for source in ("a", "b"):
+        near = mixed.filter(F.col("source") == source).agg({"taken": "sum"}).first()[0]
+        assert abs(sum(r["mix_taken"] for r in found if r["source"] == source) - near) <= 2 * 128
+
+
+CLASHES = ("_id", "_row", "_good", "_label", "_own_fp", "_gone_id", "_gone_fp", "row", "file", "line", "number", "chunk", "weight")
+
+
+def test_stages_with_clashing_names(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    named = docs.select("*", *[F.lit(7).alias(c) for c in CLASHES])
+    for name, function in corpus_pipeline.STAGES:
+        plain, out = function(spark, docs, folder), function(spark, named, folder)
+        assert set(out.columns) >= set(named.columns), name
+        assert out.filter(" AND ".join(f"{c} = 7" for c in CLASHES)).count() == plain.count(), name
+
+
 def test_registered():
     names = [n for n in queries() if n.startswith("op")]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in queries()

@@ -65,10 +65,11 @@ def streams(sizes, sources, chunk_rows=4096):
     to hold a whole source.
     """
     rows = sizes.count()
-    chunk = F.pmod(F.xxhash64("doc_id", "size"), F.lit(max(1, -(-rows // chunk_rows))))
+    own = [c for c in sizes.columns if c not in ("source", "tokens")]
+    chunk = F.pmod(F.xxhash64(*own), F.lit(max(1, -(-rows // chunk_rows))))
     numbers = sources.select("number", F.col("source").alias("_source"))
     docs = sizes.join(numbers, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("chunk", chunk)
-    inside = Window.partitionBy("number", "chunk").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("number", "chunk").orderBy(*own).rowsBetween(Window.unboundedPreceding, -1)
     over = Window.partitionBy("number").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     chunks = docs.groupBy("number", "chunk").agg(F.sum("size").alias("chunk_size"))
     chunks = chunks.withColumn("offset", F.coalesce(F.sum("chunk_size").over(over), F.lit(0))).drop("chunk_size")
@@ -152,19 +153,22 @@ def pieces(placed, block_words):
     return rows.withColumn("words", F.expr(f"least(start + size, (block + 1) * {block_words}) - greatest(start, block * {block_words})"))
 
 
-def mix(docs, weights=(1, 2, 3), limit=3, block_words=128, shard_slots=4096, seed=7):
-    """One row per document: its size, its source's size and target, and the words the mix takes of it."""
+def mix(docs, weights=(1, 2, 3), limit=3, block_words=128, shard_slots=4096, seed=7, carry=()):
+    """One row per document: its size, its source's size and target, and the words the mix takes of it.
+
+    ``carry`` names narrow columns that go along, such as the row's own place where ids repeat.
+    """
     spark = docs.sparkSession
-    sizes = stage(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
+    sizes = stage(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *carry))
     sources = stage(quotas(targets(sizes, weights, limit), block_words))
     placed = stage(streams(sizes, sources))
     times = plan_mix(spark, sources, shard_slots, seed).groupBy("number", "block").agg(F.count(F.lit(1)).alias("times"))
     parts = pieces(placed, block_words).join(times, ["number", "block"], "left").fillna(0, ["times"])
-    taken = parts.groupBy("number", "start", "doc_id", "size").agg(F.sum(F.expr("words * times")).alias("taken"))
-    empty = placed.filter("size = 0").select("number", "start", "doc_id", "size", F.lit(0).cast("long").alias("taken"))
+    taken = parts.groupBy("number", "start", "doc_id", "size", *carry).agg(F.sum(F.expr("words * times")).alias("taken"))
+    empty = placed.filter("size = 0").select("number", "start", "doc_id", "size", *carry, F.lit(0).cast("long").alias("taken"))
     known = sources.select("number", "source", "source_size", "target")
     return (
-        taken.unionByName(empty).join(known, "number").select("doc_id", "source", "size", "source_size", "target", "taken")
+        taken.unionByName(empty).join(known, "number").select("doc_id", "source", "size", "source_size", "target", "taken", *carry)
     )
 
 

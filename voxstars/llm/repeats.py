@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voxstars.llm.texts import PRIME, mixed, text_bytes, token_hashes
 
@@ -460,6 +461,8 @@ def remove_repeats(docs, length=LENGTH, block_bytes=4 << 20, batch_bytes=1 << 20
     segments = texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_segments(buckets, length), SEGMENTS)
     masks = segments.groupBy("part").applyInArrow(_masks(length, batch_bytes), REPEATED)
     answers = known.unionByName(masks).groupBy("block")
-    kinds = ", ".join(f"`{c}` {texts.schema[c].dataType.simpleString()}" for c in names)
-    out = f"n_bytes long, n_removed long, n_spans long, kept_sha256 string, {kinds}"
+    out = T.StructType([T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")])
+    out.add("kept_sha256", T.StringType())
+    for c in names:  # with the nullability of a struct's own fields, which a type's text leaves out
+        out.add(c, texts.schema[c].dataType)
     return texts.groupBy("block").cogroup(answers).applyInArrow(_removed(buckets, length, names, "text" in names), out)

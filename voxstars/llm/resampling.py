@@ -163,7 +163,8 @@ def resample(docs, labels, label="quality", scale=0.1, seed=11, max_labelled=MAX
     given = labelled(labels, label, max_labelled)
     half = F.pmod(F.xxhash64("_id", F.lit("fold")), F.lit(2))
     target = F.broadcast(given.filter((half == 0) & (F.col("_label") == 1)).select("_id", F.lit(True).alias("_good")))
-    ratios = log_ratios(docs.join(target, docs["doc_id"] == target["_id"], "left"), F.col("_good"))
+    texts = docs.select("doc_id", "text")
+    ratios = log_ratios(texts.join(target, texts["doc_id"] == target["_id"], "left"), F.col("_good"))
     weigh = weight_column(ratios)
     uniform = (F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     gumbel = -F.log(-F.log(uniform)) * F.lit(scale)

@@ -150,12 +150,16 @@ def _through_neighbours(fps, bits):
     return around.join(least, "hub").filter("fp <> a").select("a", F.col("fp").alias("b")).distinct()
 
 
-def near_duplicates(docs, size=3, bits=2):
-    """doc_id, fp and component_id (the smallest id reached through links) of every document."""
-    marked = stage(fingerprints(docs, size))
+def group_fingerprints(marked, bits=2):
+    """doc_id, fp and component_id (the smallest id reached through links) of a written table (doc_id, fp)."""
     classes = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     roots = components(links(classes.select("fp"), bits))
     joined = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lowest = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = joined.join(lowest, "root").select("fp", "component_id")
     return marked.join(named.hint("merge"), "fp").select("doc_id", "fp", "component_id")
+
+
+def near_duplicates(docs, size=3, bits=2):
+    """doc_id, fp and component_id of every document."""
+    return group_fingerprints(stage(fingerprints(docs, size)), bits)

@@ -12,8 +12,10 @@ score each word counts once, in the best segment that has it: the significances
 segments of what is then left are added, and a logistic curve of the sum's logarithm, fitted on a
 fold that gave no log-odds, gives the score.
 
-Bounds: about ``max_labelled`` labelled rows, whose ids are broadcast, and ``max_tokens`` tokens in
-the table of log-odds, those with the largest standardised ratio. Every document is scored whole.
+Bounds: about ``max_labelled`` labelled rows, whose ids are broadcast. The table of log-odds has every
+token that passes the test, 16 bytes each, and travels with the tasks. It follows that sample alone:
+to pass with ``SURE`` = 3.5 a token needs about ten labelled documents or more, so there are at most a
+tenth as many as the sample has words and beginnings. Every document is scored whole.
 
 Cases: null and empty texts have no segment and get the curve's lowest score; without labels of both
 classes all scores are the share of toxic labels (0.5 without any); repeated rows are scored alike.
@@ -28,7 +30,6 @@ from voxstars.llm.texts import LETTER, LOWER, PRIME, mixed, rows_of, runs, slice
 from voxstars.sources.staging import stage
 
 MAX_LABELLED = 500_000
-MAX_TOKENS = 65_536
 PRIOR = 0.05
 SURE = 3.5
 DRIFT = 0.1
@@ -74,7 +75,7 @@ def _counted(batches):
     yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(clean), pa.array(toxic)], names=["token", "clean", "toxic"])
 
 
-def log_odds(docs, max_tokens=MAX_TOKENS, prior=PRIOR, sure=SURE):
+def log_odds(docs, prior=PRIOR, sure=SURE):
     """Tokens with a sure log-odds ratio: token hash and score.
 
     ``docs`` has text and label; a document counts once for each token. The Dirichlet prior is the
@@ -97,7 +98,7 @@ def log_odds(docs, max_tokens=MAX_TOKENS, prior=PRIOR, sure=SURE):
     error = F.sqrt(1 / (F.col("toxic") + a) + 1 / (F.col("clean") + a))
     rows = counts.withColumn("score", odds("toxic", n_toxic) - odds("clean", n_clean)).withColumn("z", F.col("score") / error)
     base = docs.agg(F.avg("label")).first()[0]
-    rows = rows.filter((F.abs("z") >= sure) & ((F.col("score") < 0) | (F.col("score") > float(np.log(1 / base - 1))))).orderBy(F.desc(F.abs("z")), "token").limit(max_tokens)
+    rows = rows.filter((F.abs("z") >= sure) & ((F.col("score") < 0) | (F.col("score") > float(np.log(1 / base - 1)))))
     return rows.select("token", "score").toPandas()
 
 
@@ -243,7 +244,7 @@ def fit_curve(cells, steps=50):
     return float(w[0]), max(0.0, float(w[1]))
 
 
-def score(docs, labels, label="toxic", max_labelled=MAX_LABELLED, max_tokens=MAX_TOKENS):
+def score(docs, labels, label="toxic", max_labelled=MAX_LABELLED):
     """doc_id, score in [0, 1], significant segments (byte spans) of every row of ``docs``.
 
     ``labels`` holds the rows that may be learnt from; nothing else of them reaches a score.
@@ -253,7 +254,7 @@ def score(docs, labels, label="toxic", max_labelled=MAX_LABELLED, max_tokens=MAX
     fold = F.pmod(F.xxhash64("_id", F.lit("toxic")), F.lit(4))
     first, second = F.broadcast(given.filter(fold > 0)), F.broadcast(given.filter(fold == 0))
     marked = docs.join(first, docs["doc_id"] == first["_id"]).select("text", F.col("_label").alias("label"))
-    odds = log_odds(marked, max_tokens)
+    odds = log_odds(marked)
     if odds is None:
         share = given.agg(F.coalesce(F.avg("_label"), F.lit(0.5))).first()[0]
         return docs.select("doc_id", F.lit(share).alias("score"), F.expr("array()").cast(SEGMENTS).alias("segments"))
