@@ -26,13 +26,15 @@ def simhash_near_dedup(spark, docs, sf_dir):
     """Of every component of near-duplicates the document with the smallest id stays.
 
     Documents without an id stay; rows of the component with the id that stays are that document. Of
-    rows that share an id, only those go whose own component has a smaller id.
+    rows that share an id, only those go whose own component has a smaller id. Fingerprints are
+    computed once and written with the rows.
     """
-    found = simhash.near_duplicates(docs.select("doc_id", "text"), size=3, bits=2)
+    rows = _with_row(docs)
+    marked = stage(rows.select("doc_id", simhash.fingerprint(F.col("text"), size=3).alias("fp"), "_row"))
+    found = simhash.group_fingerprints(marked.select("doc_id", "fp"), bits=2)
     gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone_id"), F.col("fp").alias("_gone_fp")).distinct()
-    marked = docs.withColumn("_own_fp", simhash.fingerprint(F.col("text"), size=3))
-    own = (marked["doc_id"] == gone["_gone_id"]) & (marked["_own_fp"] == gone["_gone_fp"])
-    return marked.join(gone, own, "left_anti").select(*docs.columns)
+    own = (marked["doc_id"] == gone["_gone_id"]) & (marked["fp"] == gone["_gone_fp"])
+    return marked.join(gone, own, "left_anti").select("_row.*")
 
 
 def suffix_array_dedup(spark, docs, sf_dir):
@@ -48,13 +50,22 @@ def benchmark_decontamination(spark, docs, sf_dir):
 
 
 def mixing_to_weights(spark, docs, sf_dir):
-    """The documents that the mix takes words of, with their size, target and words taken."""
-    taken = mixing.mix(docs).filter("taken > 0").groupBy(F.col("doc_id").alias("_id")).agg(
-        F.max("size").alias("mix_size"), F.max("source_size").alias("mix_source_size"),
-        F.max("target").alias("mix_target"), F.sum("taken").alias("mix_taken"),
+    """The documents that the mix takes words of, with their size, target and words taken.
+
+    Rows are told apart by their place in a written table, so that rows with equal or missing ids keep
+    their own figures.
+    """
+    placed = stage(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))).select(
+        "row", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("line")
+    )
+    mixed = mixing.mix(placed.select("row.doc_id", "row.source", "row.text", "file", "line"), carry=("file", "line"))
+    taken = mixed.filter("taken > 0").select(
+        "file", "line", F.col("size").alias("mix_size"), F.col("source_size").alias("mix_source_size"),
+        F.col("target").alias("mix_target"), F.col("taken").alias("mix_taken"),
     )
-    kept = docs.drop("mix_size", "mix_source_size", "mix_target", "mix_taken")
-    return kept.join(taken, kept["doc_id"].eqNullSafe(taken["_id"])).drop("_id")
+    figures = [c for c in taken.columns if c.startswith("mix_")]
+    own = [F.col("row")[c].alias(c) for c in docs.columns if c not in figures]
+    return placed.join(taken, ["file", "line"]).select(*own, *figures)
 
 
 STAGES = [
