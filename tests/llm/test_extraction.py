@@ -1,5 +1,6 @@
 import itertools
 import math
+import time
 
 import pytest
 
@@ -87,3 +88,29 @@ def test_given_pages(spark, folder):
         article = re.search(r"<article>(.*?)</article>", html, re.S)[1].replace("<br>", " ")
         blocks = [" ".join(unescape(re.sub(r"</?\w+[^>]*>", "", b)).split()) for b in re.split(r"</?(?:h1|p|div|ul|li)[^>]*>", article)]
         assert text == "\n\n".join(b for b in blocks if b)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<a " * 1_000_000, "<!a" * 1_000_000, "<div>" * 100_000 + "</p>" * 100_000, "<button>" * 100_000, "x>" + "<a " * 300_000,
+        "<div>" * 50_000 + "<li></li>" * 50_000, "<table><tr><td>" * 50_000, "<dl><dt>" * 50_000 + "</dd>" * 50_000, "<div " + "id='" * 100_000 + ">",
+    ],
+    ids=range(9),
+)
+def test_broken_pages_take_seconds(page):
+    """Each of these took minutes to hours where every sign led to a search over the rest of the page or of the open elements."""
+    start = time.perf_counter()
+    x.parse(page)
+    assert time.perf_counter() - start < 10
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("a<!-- b --> c", "a c"), ("a<!-- b", "a"), ("a<!--> b --> c", "a c"), ("a <b", "a <b"), ("a <b<!-- x", "a <b"), ("1 > 0 < 2", "1 > 0 < 2"),
+        ("a<script>x</script>b", "ab"), ("a<script>x", "a"), ("a<button>x", "ax"), ("a<button>x</button>b<button>c", "abc"), ("<a '>'>t</a>", "t"),
+    ],
+)
+def test_tokens(page, want):
+    assert " ".join(n.pieces for n in x.parse(page) if n.pieces) == want

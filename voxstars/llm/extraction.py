@@ -71,7 +71,14 @@ def parse(page):
     nodes = [Node(-1, "#root")]
     stack, leaf, links, at = [0], -1, 0, 0
     size = len(page)
-    lowered = None
+    lowered, never_closed = None, set()
+    open_at = {}  # per tag the places in the stack of its open elements
+
+    def close(place):
+        """End the open element at a place in the stack, and those inside it."""
+        for i in reversed(stack[place:]):
+            open_at[nodes[i].tag].pop()
+        del stack[place:]
 
     def say(text):
         nonlocal leaf
@@ -88,16 +95,21 @@ def parse(page):
         node.chars += n
         node.linked += n if links else 0
 
+    # No tag can end behind the last ">", so none is looked for there: each sign is read a bounded number of times.
+    last = page.rfind(">") + 1
     while at < size:
-        token = TOKEN.search(page, at)
+        token = TOKEN.search(page, at, last) if at < last else None
         if token is None:
-            say(page[at:])
+            comment = page.find("<!--", at)  # one that never ends
+            say(page[at:] if comment < 0 else page[at:comment])
             break
         if token.start() > at:
             say(page[at : token.start()])
         at = token.end()
         name = token[2]
         if name is None:
+            if token[0].startswith("<!--") and not token[0].endswith("-->", 4):
+                break
             continue
         name = name.lower()
         if token[1]:
@@ -105,19 +117,20 @@ def parse(page):
                 links = max(0, links - 1)
             elif name in BLOCK:
                 leaf = -1
-                for i in range(len(stack) - 1, 0, -1):
-                    if nodes[stack[i]].tag == name:
-                        del stack[i:]
-                        break
+                if open_at.get(name):
+                    close(open_at[name][-1])
             continue
         rest = token[3]
         if name in RAW:
-            if name != "head":
+            if name != "head" and name not in never_closed:
                 lowered = page.lower() if lowered is None else lowered
                 end = lowered.find("</" + name, at) if len(lowered) == size else page.find("</" + name, at)
-                at = size if end < 0 else end
-                if name not in ("script", "style", "textarea", "title") and end < 0:
-                    at = token.end()
+                if end >= 0:
+                    at = end
+                elif name in ("script", "style", "textarea", "title"):
+                    at = size
+                else:
+                    never_closed.add(name)
             continue
         if name == "br":
             say(" ")
@@ -126,18 +139,17 @@ def parse(page):
         elif name in BLOCK:
             leaf, links = -1, 0
             if nodes[stack[-1]].tag == "p":
-                stack.pop()
-            for i in range(len(stack) - 1, 0, -1):
-                tag = nodes[stack[i]].tag
-                if tag in CONTAINERS.get(name, ()):
-                    break
-                if tag in CLOSES.get(name, ()):
-                    del stack[i:]
-                    break
+                close(len(stack) - 1)
+            if name in CLOSES:
+                nearest = lambda tags: max((open_at[t][-1] for t in tags if open_at.get(t)), default=0)
+                own = nearest(CLOSES[name])
+                if own > nearest(CONTAINERS[name]):
+                    close(own)
             named = " ".join(next(filter(None, m.groups()), "") for m in NAMED.finditer(rest)).lower().replace("_", "-")
             mark = LABEL.search(rest) if "data-main" in rest else None
             nodes.append(Node(stack[-1], name, named, mark and int(mark[1]), nodes[stack[-1]].role))
             if name not in VOID:
+                open_at.setdefault(name, []).append(len(stack))
                 stack.append(len(nodes) - 1)
     for node in reversed(nodes[1:]):
         if node.pieces is not None:
