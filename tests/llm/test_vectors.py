@@ -46,3 +46,23 @@ def test_few_rows_and_none(spark):
     check(spark, [(0, [1.0, 0.0]), (1, [0.0, 1.0])])
     check(spark, [(0, [1.0, 0.0])])
     check(spark, [])
+
+
+def test_lengths_that_do_not_fit_a_double(spark):
+    """Squares of these over- or underflow; scaled by powers of two they are vectors like others."""
+    rng = np.random.default_rng(2)
+    base = [(i, rng.normal(size=6).tolist()) for i in range(120)]
+    moved = [(i, [x * 2.0 ** (660 if i % 3 == 0 else -660 if i % 3 == 1 else 0) for x in v]) for i, v in base]
+    schema = "vec_id long, embedding array<double>"
+    results = [
+        sorted(map(tuple, vectors.nearest(spark.createDataFrame(rows, schema), F.expr("vec_id % 50 = 0"), group_rows=50).collect()))
+        for rows in (base, moved)
+    ]
+    assert results[0] == results[1] and len(results[0]) == 15
+
+
+def test_products_of_many_components_are_exact():
+    rng = np.random.default_rng(3)
+    a, b = (rng.choice([-127, 127], size=(20, 4096)).astype(np.float32) for _ in range(2))
+    a[0], b[0] = 127, 127
+    assert (vectors._products(a, b) == a.astype(np.int64) @ b.astype(np.int64).T).all()

@@ -1,8 +1,8 @@
 """Nearest neighbours by a block matrix join of int8 tiles.
 
 Queries are dealt into blocks and candidates into groups; each (group, block) cell is one task's
-product. In a cell the vectors are scaled to length one and rounded to int8; tile products, exact in
-float32, give every cosine up to a bound made of the rounding errors' lengths. Pairs whose upper
+product. In a cell the vectors are scaled to length one and rounded to int8; tile products, exact sums
+of whole numbers, give every cosine up to a bound made of the rounding errors' lengths. Pairs whose upper
 bound reaches the best lower bounds so far are computed anew in double precision and kept in one
 heap a query; the cells' heaps are merged by a window limit. The bounds are proven, so the result is
 the exact one.
@@ -21,6 +21,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 TILE = 1024
+EXACT = 1024  # components whose int8 products add up exactly in float32: 127^2 x 1024 < 2^24
 OUT = "query_id long, vec_id long, score double"
 
 
@@ -46,6 +47,19 @@ def _int8(unit):
     return whole.astype(np.int8).astype(np.float32), scale, lost
 
 
+def _scaled(rows):
+    """Rows times powers of two that bring their largest component near one: no square over- or underflows, no bit is lost."""
+    return np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1))[1][:, None])
+
+
+def _products(left, right):
+    """Products of whole numbers of at most 127, exact: float32 within parts of the components, float64 over them."""
+    total = (left[:, :EXACT] @ right[:, :EXACT].T).astype(np.float64)
+    for c in range(EXACT, left.shape[1], EXACT):
+        total += left[:, c : c + EXACT] @ right[:, c : c + EXACT].T
+    return total
+
+
 def _distinct(ids, rows, k):
     """Each distinct vector once, with its smallest k + 1 ids (one of them may be the query's own)."""
     order = np.argsort(ids, kind="stable")
@@ -67,6 +81,7 @@ def nearest_in_cell(query_ids, queries, ids, rows, k):
     rows, held = _distinct(ids, rows, k)
     single = np.array([h[0] if len(h) == 1 else -1 for h in held])
     is_single = np.array([len(h) == 1 for h in held])
+    queries, rows = _scaled(queries), _scaled(rows)
     q_len, r_len = np.sqrt((queries**2).sum(axis=1)), np.sqrt((rows**2).sum(axis=1))
     q_int, q_scale, q_lost = _int8(queries / q_len[:, None])
     r_int, r_scale, r_lost = _int8(rows / r_len[:, None])
@@ -74,7 +89,7 @@ def nearest_in_cell(query_ids, queries, ids, rows, k):
     best = np.full(len(query_ids), -np.inf)
     for a in range(0, len(rows), TILE):
         b = min(a + TILE, len(rows))
-        about = (q_int @ r_int[a:b].T).astype(np.float64) * q_scale[:, None] * r_scale[None, a:b]
+        about = _products(q_int, r_int[a:b]) * q_scale[:, None] * r_scale[None, a:b]
         # |x.y - x'.y'| <= |x'||y - y'| + |x - x'||y|, where |x'| <= 1 + |x - x'| and |y| = 1.
         slack = (1 + q_lost)[:, None] * r_lost[None, a:b] + q_lost[:, None] + 1e-9
         own = is_single[None, a:b] & (single[None, a:b] == query_ids[:, None])
