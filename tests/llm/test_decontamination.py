@@ -103,3 +103,12 @@ def test_an_edit_of_any_letter_counts_once(spark):
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
     got = {r["doc_id"]: (r["distance"], r["start"], r["end"]) for r in d.matches(make_docs(spark, rows), bench).collect()}
     assert got == {0: (1, 0, len(item)), 1: (budget, 0, len(item))}
+
+
+def test_short_items_match_whole_words_only():
+    matcher = d.Matcher([(1, "no"), (2, "a b"), (3, "né"), (4, "(x)")])
+    found = lambda text: sorted((m[0], m[1], m[2]) for m in matcher.find(text.encode()))
+    assert found("another notable north piano") == []
+    assert found("No, no. no") == [(1, 0, 2), (1, 4, 6), (1, 8, 10)]
+    assert found("a b ba b a bc") == [(2, 0, 3)]
+    assert found("née né") == [(3, 4, 6)] and found("f(x)y (x)") == [(4, 1, 4), (4, 6, 9)]

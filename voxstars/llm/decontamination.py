@@ -10,7 +10,7 @@ budgets, distances and places all count those.
 Items are sent to the tasks in blocks of at most ``block_bytes``; documents are read once a block.
 
 Cases: null and empty texts or items match nothing; items under ``1 / error_rate`` characters have no
-budget and match exactly; repeated items, and items with a null id, are matched like others; every
+budget and match exactly, and only as whole words ("no" is not in "another"); repeated items, and items with a null id, are matched like others; every
 row of ``docs`` is searched on its own.
 """
 
@@ -57,6 +57,12 @@ def myers(pattern_bits, length, text, most):
     return (best, at) if best <= most else None
 
 
+def within_word(text, start, end):
+    """Whether one of the borders of a part of a text lies inside a word."""
+    inside = lambda i: 0 < i < len(text) and text[i - 1].isalnum() and text[i].isalnum()
+    return inside(start) or inside(end)
+
+
 class Matcher:
     """The pieces of a block of items, built once a task."""
 
@@ -95,6 +101,8 @@ class Matcher:
             for start in sorted(starts):
                 if covered is not None and start <= covered:
                     continue
+                if not budget and within_word(text, start, start + len(wanted)):
+                    continue
                 if start >= 0 and text.startswith(wanted, start):
                     found.append((item_id, start, start + len(wanted), 0))
                     covered = start + budget
