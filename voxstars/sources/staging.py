@@ -5,9 +5,14 @@ import uuid
 from voxstars.session import shared_folder
 
 
+_made = {}  # paths handed out, by application
+
+
 def shared_path(spark, name="staged"):
     """A new path in the folder that all executors share."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def stage(df):
@@ -18,3 +23,17 @@ def stage(df):
     path = shared_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_staged(spark):
+    """Delete every table of this application's ``shared_path`` and ``stage`` calls; returns how many there were.
+
+    For long-lived sessions, once the results that read them are written. Models and results that are
+    still to be read must not depend on them.
+    """
+    context = spark.sparkContext
+    paths = _made.pop(context.applicationId, [])
+    for path in paths:
+        folder = context._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+    return len(paths)
