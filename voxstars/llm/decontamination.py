@@ -12,6 +12,8 @@ Items are sent to the tasks in blocks of at most ``block_bytes``; documents are
 Cases: null and empty texts or items match nothing; items under ``1 / error_rate`` characters have no
 budget and match exactly, and only as whole words ("no" is not in "another"); repeated items, and items with a null id, are matched like others; every
 row of ``docs`` is searched on its own.
+Other columns are not looked at, whatever their names. A text is searched whole; a task holds one text's
+normal form, about four bytes a character, beside the automaton.
 """
 
 import ahocorasick

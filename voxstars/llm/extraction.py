@@ -12,6 +12,7 @@ then extracted whole.
 
 Cases: null and empty pages, and pages without text, give an empty text; broken markup is read as
 far as it goes (open elements end with the page); repeated rows are extracted alike.
+Other columns are not looked at, whatever their names. A page is read whole, in time proportional to its length.
 """
 
 import html

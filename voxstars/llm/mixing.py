@@ -10,6 +10,8 @@ a rerun or a lost task gives the same mix.
 Cases: a null text has no words; a null source is a source of its own and comes last; documents
 without words are returned and never taken; equal rows are told apart by their place in the stream;
 an empty table gives an empty result.
+Other columns are not looked at, whatever their names; texts are only counted. The table of sources, a
+row each, is ordered and summed in one task: meant for up to some million sources, not for one a document.
 """
 
 from pyspark.sql import Window

@@ -15,6 +15,8 @@ one chunk's texts and the distinct contexts and words in it.
 
 Cases: a null text is empty: its end sign is all there is to score; without any training document
 every byte is equally likely; repeated rows are scored alike and counted as often as they occur.
+Other columns are not looked at, whatever their names. A text is scored whole: one longer than a slice is a
+slice of its own, with about thirty bytes of memory for each of its bytes.
 """
 
 import math

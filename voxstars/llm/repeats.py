@@ -15,6 +15,8 @@ once, with the smallest id that has it there.
 Cases: a null text is empty; texts under ``length`` bytes lose nothing; rows with equal ids are one
 document; a null id counts as larger than every other; what is cut inside a character leaves bytes
 that are dropped when kept text is asked for.
+Columns in ``carry`` go along under their own names; others are not looked at. A text is worked on whole: one
+longer than a block is a block of its own, with about twenty-five bytes of memory for each of its bytes.
 """
 
 import hashlib

@@ -13,6 +13,8 @@ models have ``BINS`` bins each. All else covers every document.
 Cases: null and empty texts weigh 0 like a text without known tokens, against a threshold found on
 labelled rows; ids that are null or repeat are drawn row by row by the hash of id and text; without
 any labelled rows of either class, every document is kept.
+Other columns stay as they are, whatever their names, but for ``log_weight`` and ``sample_key``, which are
+replaced. A text is weighed whole, in slices of 1 MB; a longer text is one slice.
 """
 
 import numpy as np

@@ -11,6 +11,8 @@ smallest one within one bit of each of its one-bit neighbours, which is linear i
 
 Cases: null and empty texts have fingerprint zero and are linked like any other; a null id never
 names a component unless all its members are null; equal rows share a fingerprint and a component.
+Other columns are not looked at, whatever their names. A text is hashed whole: one longer than a slice is a
+slice of its own, with about twenty-five bytes of memory for each of its bytes.
 """
 
 import itertools

@@ -19,6 +19,8 @@ tenth as many as the sample has words and beginnings. Every document is scored w
 
 Cases: null and empty texts have no segment and get the curve's lowest score; without labels of both
 classes all scores are the share of toxic labels (0.5 without any); repeated rows are scored alike.
+Other columns are not looked at, whatever their names. A text is scanned whole, in slices of 1 MB; a longer
+text is one slice.
 """
 
 import numpy as np

@@ -10,6 +10,7 @@ the exact one.
 Cases: vectors that are null, zero, or hold a null or non-finite component take no part, neither do
 rows without an id; vectors of different length are never compared. Rows with the query's own id
 are its own; equal rows of one id count once; ties go to the smaller id.
+Other columns are not looked at, whatever their names.
 """
 
 import heapq

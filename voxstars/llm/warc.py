@@ -8,6 +8,8 @@ simply written again.
 Cases: a null payload is an empty one; payloads under ``min_bytes`` are responses always; rows that
 repeat the smallest id of their payload are responses too; a null id comes after every id; a null
 url writes no WARC-Target-URI. An empty table gives one archive without records.
+Other columns are not looked at, whatever their names. A payload is one record, whatever its length up to the
+2 GB that a reader of whole files can take.
 """
 
 import math
