@@ -22,19 +22,32 @@ def quality_classifier(spark, docs, sf_dir):
     return resampling.resample(_with_row(docs), labels).select("_row.*")
 
 
+def _with_place(docs):
+    """Id, text and source, the whole row in one column, and the row's own place: file and line.
+
+    The place tells rows apart whose ids repeat or are missing. A plain scan of Parquet files, which
+    the stages are given, has it already; any other table is written first.
+    """
+    plain = docs._jdf.queryExecution().analyzed().toString().startswith("Relation [")
+    rows = docs if plain else stage(docs)
+    whole = F.struct(*[rows[c] for c in docs.columns]).alias("_row")
+    place = F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("line")
+    return rows.select(rows["doc_id"], rows["text"], rows["source"], whole, *place)
+
+
 def simhash_near_dedup(spark, docs, sf_dir):
     """Of every component of near-duplicates the document with the smallest id stays.
 
     Documents without an id stay; rows of the component with the id that stays are that document. Of
     rows that share an id, only those go whose own component has a smaller id. Fingerprints are
-    computed once and written with the rows.
+    computed once and kept with the rows' places.
     """
-    rows = _with_row(docs)
-    marked = stage(rows.select("doc_id", simhash.fingerprint(F.col("text"), size=3).alias("fp"), "_row"))
+    rows = _with_place(docs)
+    marked = stage(rows.select("doc_id", simhash.fingerprint(F.col("text"), size=3).alias("fp"), "file", "line"))
     found = simhash.group_fingerprints(marked.select("doc_id", "fp"), bits=2)
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone_id"), F.col("fp").alias("_gone_fp")).distinct()
-    own = (marked["doc_id"] == gone["_gone_id"]) & (marked["fp"] == gone["_gone_fp"])
-    return marked.join(gone, own, "left_anti").select("_row.*")
+    gone = found.filter("doc_id <> component_id").select("doc_id", "fp").distinct()
+    places = marked.join(gone, ["doc_id", "fp"]).select("file", "line")
+    return rows.join(places, ["file", "line"], "left_anti").select("_row.*")
 
 
 def suffix_array_dedup(spark, docs, sf_dir):
@@ -52,20 +65,17 @@ def benchmark_decontamination(spark, docs, sf_dir):
 def mixing_to_weights(spark, docs, sf_dir):
     """The documents that the mix takes words of, with their size, target and words taken.
 
-    Rows are told apart by their place in a written table, so that rows with equal or missing ids keep
-    their own figures.
+    Rows are told apart by their place, so that rows with equal or missing ids keep their own figures.
     """
-    placed = stage(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))).select(
-        "row", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("line")
-    )
-    mixed = mixing.mix(placed.select("row.doc_id", "row.source", "row.text", "file", "line"), carry=("file", "line"))
+    rows = _with_place(docs)
+    mixed = mixing.mix(rows.select("doc_id", "source", "text", "file", "line"), carry=("file", "line"))
     taken = mixed.filter("taken > 0").select(
         "file", "line", F.col("size").alias("mix_size"), F.col("source_size").alias("mix_source_size"),
         F.col("target").alias("mix_target"), F.col("taken").alias("mix_taken"),
     )
     figures = [c for c in taken.columns if c.startswith("mix_")]
-    own = [F.col("row")[c].alias(c) for c in docs.columns if c not in figures]
-    return placed.join(taken, ["file", "line"]).select(*own, *figures)
+    own = [F.col("_row")[c].alias(c) for c in docs.columns if c not in figures]
+    return rows.join(taken, ["file", "line"]).select(*own, *figures)
 
 
 STAGES = [
