@@ -113,8 +113,12 @@ def voted(df):
     return df.filter(F.col(S.VOTES_ALL) > 0)
 
 
-def prepare(df, profile):
-    """Raw reviews to the table that a profile's jobs read."""
+def prepare(df, profile, few=False):
+    """Raw reviews to the table that a profile's jobs read.
+
+    With ``few``, when a filter on a product or user came before, equal reviews are found by one window
+    over all rows, which costs less there than looking for suspects first.
+    """
     df = coerce_score(df)
     if profile.drop_null_text:
         df = drop_nulls(df, S.TEXT, S.SUMMARY, S.SCORE)
@@ -129,7 +133,7 @@ def prepare(df, profile):
     if not profile.dedup_raw_time:
         df = df.withColumn(S.TIME, C.seconds_in_range(S.TIME))
     if profile.dedup:
-        df = dedup_reviews(df)
+        df = _first_of(df, S.REVIEW_KEY, S.ID) if few else dedup_reviews(df)
     df = df.withColumn(S.TIME, C.time_of(S.TIME))
     if profile.combined:
         df = df.withColumn(S.COMBINED, C.combined_text())

@@ -343,7 +343,7 @@ def product_monthly_score(raw):
 @query("t8_one_product_monthly_score")
 def one_product_monthly_score(raw):
     one = raw.filter(F.col(S.PRODUCT) == PRODUCT_ID)  # equal reviews have equal products
-    out = T.product_monthly_score(P.prepare(one, P.SENTIMENT), PRODUCT_ID)
+    out = T.product_monthly_score(P.prepare(one, P.SENTIMENT, few=True), PRODUCT_ID)
     return out.select(S.PRODUCT, text_of(T.MONTH), rounded("avg_score"))
 
 
@@ -501,7 +501,7 @@ def least_helpful_reviews(raw):
 def _reviews_of(raw, wanted):
     # Product and user are part of the key of equal reviews, so the filter may come first.
     rows = raw.filter((F.col(S.PRODUCT) == wanted) | (F.col(S.USER) == wanted))
-    return _reviews(Q.recent_reviews(P.prepare(rows, P.PRODUCT_USER), wanted))
+    return _reviews(Q.recent_reviews(P.prepare(rows, P.PRODUCT_USER, few=True), wanted))
 
 
 @query("f6_recent_reviews_product")
