@@ -49,10 +49,10 @@ ROWS = [(i, t) for i, t in enumerate(
 )] + [(None, "a row without id"), (1, "The Dog sat"), (50, "漢字 and more"), (51, "the cat")]
 
 
-@pytest.mark.parametrize("order", [2, 3, 5])
-def test_against_a_plain_trie(spark, order):
+@pytest.mark.parametrize("order,most_alike", [(2, 10**6), (3, 10**6), (5, 10**6), (2, 1), (3, 1), (5, 1), (5, 6)])
+def test_against_a_plain_trie(spark, order, most_alike):
     held = F.col("doc_id").isin(4, 6, 50)
-    got = ppm.score(make_docs(spark, ROWS), F.coalesce(held, F.lit(False)), order=order, chunk_bytes=900).collect()
+    got = ppm.score(make_docs(spark, ROWS), F.coalesce(held, F.lit(False)), order=order, chunk_bytes=900, most_alike=most_alike).collect()
     out = {4, 6, 50}
     train = [lower(t) for i, t in ROWS if i not in out]
     trie = Trie(train, order)

@@ -35,6 +35,7 @@ ORDER = 5
 START, END = 0xFF, 0xFE  # never part of UTF-8
 ALPHABET = 243 + 1  # bytes that UTF-8 has, and the end
 SLICE = 1 << 20
+HEAVY = 2_000_000  # (context, byte) of one ending that a task evaluates together
 MOST = 2_000_000  # distinct (context, byte) or words that a task counts before it passes them on
 COUNTS = "bucket int, grams binary, counts binary, words binary, word_counts binary, texts long"
 WANTED = "chunk int, bucket int, grams binary, words binary"
@@ -227,12 +228,13 @@ def _step(log_p, open_, n, total, distinct):
     return open_ & ~hit
 
 
-def evaluate(keys, n, pairs, singles, order):
-    """log10 probability of each key, given the counts of all keys whose contexts end in the same two bytes."""
+def _deep(keys, n, order, least):
+    """Code what contexts of ``order`` down to ``least`` bytes hold: the logarithms so far, what is still open, and
+    per context of the last step its distinct bytes and which keys they are. The keys hold all of these contexts."""
     symbol = keys & 255
     log_p, open_ = np.zeros(len(keys)), np.ones(len(keys), bool)
     above = None  # per deeper context: distinct bytes, and which (context, byte) they are
-    for depth in range(order, 1, -1):
+    for depth in range(order, least - 1, -1):
         context = keys >> (8 * (order - depth) + 8)
         codes, code_at = np.unique((context << 8) | symbol, return_inverse=True)
         code_n = np.bincount(code_at, weights=n, minlength=len(codes))
@@ -251,7 +253,13 @@ def evaluate(keys, n, pairs, singles, order):
         a_key[code_at] = np.arange(len(keys))
         seen = code_n > 0
         above = distinct, own, a_key[seen], context_at[seen]
-    deep_distinct, deep_at, deep_codes, deep_context = above
+    return log_p, open_, above
+
+
+def evaluate(keys, n, pairs, singles, order):
+    """log10 probability of each key, given the counts of all keys whose contexts end in the same two bytes."""
+    symbol = keys & 255
+    log_p, open_, (deep_distinct, deep_at, deep_codes, deep_context) = _deep(keys, n, order, 2)
     last = keys >> (8 * order)
     row = pairs[last]
     n_1, total, distinct = pairs[last, symbol], row.sum(axis=1), (row > 0).sum(axis=1)
@@ -264,11 +272,44 @@ def evaluate(keys, n, pairs, singles, order):
     return log_p
 
 
-def _evaluated(pairs, singles, order, buckets):
+def evaluate_part(keys, n, ending, pairs, singles, order):
+    """The same for keys whose contexts end in the same three bytes, given ``ending``: how often each byte follows
+    the last two of them in the whole corpus."""
+    symbol = keys & 255
+    log_p, open_, (deep_distinct, deep_at, deep_codes, deep_context) = _deep(keys, n, order, 3)
+    lost = np.bincount(deep_context, weights=ending[symbol[deep_codes]], minlength=len(deep_distinct))
+    distinct = (ending > 0).sum()
+    open_ = _step(log_p, open_, ending[symbol], ending.sum() - lost[deep_at], distinct - deep_distinct[deep_at])
+    same = lambda x: np.full(len(keys), float(x))
+    row = pairs[keys[0] >> (8 * order)]
+    open_ = _step(log_p, open_, row[symbol], same(row.sum() - row[ending > 0].sum()), same((row > 0).sum() - distinct))
+    seen = (singles > 0).sum()
+    open_ = _step(log_p, open_, singles[symbol], same(singles.sum() - singles[row > 0].sum()), same(seen - (row > 0).sum()))
+    log_p[open_] -= math.log10(max(1, ALPHABET - seen))
+    return log_p
+
+
+def heavy_endings(totals, order, most=HEAVY):
+    """Byte counts after each ending of two bytes that more than ``most`` (context, byte) share.
+
+    At most 65,536 x 256 counts; endings so heavy are few: one for each ``most`` keys of the corpus.
+    """
+    ending = F.shiftright("gram", 8 * (order - 1))
+    heavy = totals.groupBy(ending.alias("ending")).agg(F.count(F.lit(1)).alias("keys")).filter(F.col("keys") > most)
+    found = {r["ending"]: np.zeros(256) for r in heavy.collect()}
+    if found:
+        rows = totals.select(ending.alias("ending"), F.col("gram").bitwiseAND(255).alias("byte"), "n").filter(F.col("ending").isin(list(found)))
+        for r in rows.groupBy("ending", "byte").agg(F.sum("n").alias("n")).collect():
+            found[r["ending"]][r["byte"]] = r["n"]
+    return found
+
+
+def _evaluated(pairs, singles, order, buckets, heavy):
     def run(table):
         keys, n = table.column("gram").to_numpy(), table.column("n").to_numpy()
-        cells = _bucket(keys, buckets).astype(np.int32)
-        return pa.table({"bucket": cells, "gram": keys, "log_p": evaluate(keys, n, pairs, singles, order)})
+        ending = heavy.get(int(keys[0]) >> (8 * (order - 1)))
+        log_p = evaluate(keys, n, pairs, singles, order) if ending is None else evaluate_part(keys, n, ending, pairs, singles, order)
+        return pa.table({"bucket": _bucket(keys, buckets).astype(np.int32), "gram": keys, "log_p": log_p})
 
     return run
 
@@ -343,7 +384,7 @@ def _scored(order):
     return run
 
 
-def score(docs, held_out, order=ORDER, chunk_bytes=16 << 20):
+def score(docs, held_out, order=ORDER, chunk_bytes=16 << 20, most_alike=HEAVY):
     """Scores of every document by a model of those for which ``held_out`` (a column) is false.
 
     ``score`` is log10 of the model's probability of the text and its end, ``base_score`` that of the
@@ -363,8 +404,11 @@ def score(docs, held_out, order=ORDER, chunk_bytes=16 << 20):
     tokens, types, ends = words.agg(
         F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1)), F.coalesce(F.sum(F.when(F.col("word") == "", F.col("n"))), F.lit(0))
     ).first()
-    alike = F.shiftright("gram", 8 * (order - 1)).alias("ending")
-    valued = grams.select(alike, "gram", "n").groupBy("ending").applyInArrow(_evaluated(pairs, singles, order, buckets), "bucket int, gram long, log_p double")
+    # Keys that end in the same two bytes are one group; where these are too many, those that end in three.
+    heavy = heavy_endings(grams, order, most_alike) if order > 2 else {}
+    alike = F.shiftright("gram", 8 * (order - 1))
+    alike = F.when(alike.isin(list(heavy)), F.shiftright("gram", 8 * (order - 2)) + F.lit(1 << 16)).otherwise(alike) if heavy else alike
+    valued = grams.select(alike.alias("ending"), "gram", "n").groupBy("ending").applyInArrow(_evaluated(pairs, singles, order, buckets, heavy), "bucket int, gram long, log_p double")
     values = valued.select("bucket", "gram", F.lit(None).cast("string").alias("word"), F.col("log_p").alias("value")).unionByName(
         words.select("bucket", "gram", "word", F.col("n").cast("double").alias("value"))
     )
