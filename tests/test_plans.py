@@ -125,6 +125,9 @@ def test_reports(spark, reviews):
         for name, df in report.items():
             assert df.count() > 0 or name == "top_products_by_score", name
     assert reports[-1]["predicted_rating"].count() == 2000
+    own = views.modelling(reviews, sample=2000)
+    assert {n: t.columns for n, t in own.items()} == {n: t.columns for n, t in reports[-1].items() if not n.startswith("keyword")}
+    assert own["predicted_rating"].count() == 2000 and own["predicted_distribution"].agg(F.sum("reviews")).first()[0] == 2000
     lazy = views.overview(reviews, years=3, share=lambda t: t)
     assert lazy["kpis"].collect() == reports[0]["kpis"].collect()
     assert A.kpis(P.prepare(reviews, P.OVERVIEW)).collect() == lazy["kpis"].collect()

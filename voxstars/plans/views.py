@@ -6,7 +6,9 @@ a re-read; pass ``lambda df: df`` to keep everything in one lazy plan.
 """
 
 from voxstars import schema as S
+from voxstars.operators import bayes as B
 from voxstars.operators import leaders as K
+from voxstars.operators import leastsquares as L
 from voxstars.operators import metrics as A
 from voxstars.operators import models as M
 from voxstars.operators import prepare as P
@@ -117,11 +119,24 @@ def revenue(reviews, product=None, min_reviews=20, k=20, share=stage):
     return out
 
 
-def modelling(reviews, sentiment_model, rating_model, sample=None, query=None, share=stage):
-    """Scoring and evaluation; ``sample`` is the number of reviews to look at, default all."""
+def _classified(model, df):
+    return B.score_bayes(model, df) if isinstance(model, B.BayesModel) else M.score_sentiment(model, df)
+
+
+def _rated(model, df):
+    return L.score_least_squares(model, df) if isinstance(model, L.LinearModel) else M.score_rating(model, df)
+
+
+def modelling(reviews, sentiment_model=None, rating_model=None, sample=None, query=None, share=stage):
+    """Scoring and evaluation; ``sample`` is the number of reviews to look at, default all.
+
+    Models of either family serve; without one, naive Bayes and least squares are fitted on all reviews.
+    """
     df = P.prepare(reviews, P.SHARED)
+    sentiment_model = sentiment_model or B.fit_bayes(df)
+    rating_model = rating_model or L.fit_least_squares(df)
     df = share(df if sample is None else Q.sample_rows(df, sample))
-    scored = share(M.score_sentiment(sentiment_model, df))
+    scored = share(_classified(sentiment_model, df))
     bins = A.length_bin_score(df, keep_empty=True, exclude_max=True)
     # The query is lowered first, as in the interactive search of this report.
     return {
@@ -129,6 +144,6 @@ def modelling(reviews, sentiment_model, rating_model, sample=None, query=None, s
         "predicted_distribution": M.predicted_distribution(scored),
         "classification_report": M.classification_report(scored),
         "confusion_matrix": M.confusion_matrix(scored),
-        "predicted_rating": M.score_rating(rating_model, df).select(S.ID, S.SCORE, M.RATING),
+        "predicted_rating": _rated(rating_model, df).select(S.ID, S.SCORE, M.RATING),
         "word_frequencies_by_class": N.word_frequencies_by_class(scored),
     }
