@@ -2,6 +2,8 @@ import itertools
 import random
 import re
 
+import numpy as np
+import pytest
 import xxhash
 from helpers import make_docs
 
@@ -97,3 +99,12 @@ def test_components(spark):
 
 def test_empty_table(spark):
     assert simhash.near_duplicates(make_docs(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("text", ["a bb ccc " * 400, "one", "x" * 500 + " " + "y" * 700, " \t\n " * 300, "", " lead and trail ", "w " * 5 + "z" * 900 + " v u"])
+def test_a_long_text_in_parts(text):
+    data = np.frombuffer(text.encode(), np.uint8)
+    want = simhash.fingerprints_of(data, np.array([0, len(data)]), 3)
+    for part in (1, 7, 64, 1000):
+        assert (simhash._long_fingerprint(data, 3, part) == want).all()
+        assert (simhash._long_fingerprint(data, 1, part) == simhash.fingerprints_of(data, np.array([0, len(data)]), 1)).all()

@@ -11,8 +11,8 @@ smallest one within one bit of each of its one-bit neighbours, which is linear i
 
 Cases: null and empty texts have fingerprint zero and are linked like any other; a null id never
 names a component unless all its members are null; equal rows share a fingerprint and a component.
-Other columns are not looked at, whatever their names. A text is hashed whole: one longer than a slice is a
-slice of its own, with about twenty-five bytes of memory for each of its bytes.
+Other columns are not looked at, whatever their names. A text is hashed whole; a long one in
+parts of about 1 MB that end between words, so that memory follows its longest word at most.
 """
 
 import itertools
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from voxstars.llm.graph import components
-from voxstars.llm.texts import LOWER, slices, text_bytes
+from voxstars.llm.texts import LOWER, SLICE, SPACE, slices, text_bytes
 from voxstars.sources.staging import stage
 
 FULL = 64
@@ -32,10 +32,10 @@ RANDOM_REFERENCES = 16
 LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-def _shingle_hashes(text, size):
+def _word_hashes(parts, size):
+    """Hashes of the shingles of a list of words; fewer words are one shingle."""
     import xxhash
 
-    parts = text.split()  # bytes split at exactly 20, 09-0D
     if not parts:
         return []
     joined = b" ".join(parts)
@@ -46,23 +46,59 @@ def _shingle_hashes(text, size):
     return [digest(joined[a:b], SEED) for a, b in zip(starts[: len(parts) - last].tolist(), ends[last:].tolist())]
 
 
+def _bit_counts(hashes, first, n):
+    """How often each bit is set, per run of ``n`` hashes from ``first`` on.
+
+    Lanes hold up to 255, so sums are taken over runs of 255 hashes, then over the runs of a text.
+    """
+    per = -(-n // 255)
+    run_first = np.r_[0, np.cumsum(per)[:-1]]
+    inside = np.arange(per.sum()) - np.repeat(run_first, per)
+    lanes = np.add.reduceat(LANES[hashes.view(np.uint8).reshape(-1, 8)], np.repeat(first, per) + inside * 255, axis=0)
+    return np.add.reduceat(lanes.view(np.uint8).astype(np.int64), run_first, axis=0)
+
+
+def _long_fingerprint(data, size, part=SLICE):
+    """Fingerprint of one long text, in parts that end between words; the last words of a part open the next."""
+    n, bits, carry, begin = 0, np.zeros(64, np.int64), [], 0
+
+    def count(words):
+        hashes = np.array(_word_hashes(words, size), np.uint64)
+        return len(hashes), _bit_counts(hashes, np.zeros(1, np.int64), np.array([len(hashes)]))[0]
+
+    while begin < len(data):
+        end = min(begin + part, len(data))
+        while end < len(data):
+            free = np.flatnonzero(SPACE[data[end : end + 65536]])
+            if len(free):
+                end += int(free[0])
+                break
+            end = min(end + 65536, len(data))
+        words = carry + data[begin:end].tobytes().split()
+        begin = end
+        if len(words) >= size:
+            more, set_bits = count(words)
+            n, bits = n + more, bits + set_bits
+            words = words[len(words) - size + 1 :]
+        carry = words
+    if not n and carry:
+        n, bits = count(carry)
+    return np.packbits(bits * 2 > n, bitorder="little").view(np.uint64)
+
+
 def fingerprints_of(data, offsets, size=3):
     """Fingerprints (uint64) of texts given as lower-case bytes: bits set in over half the hashes."""
-    texts = [_shingle_hashes(data[a:b].tobytes(), size) for a, b in zip(offsets[:-1], offsets[1:])]
+    if len(offsets) == 2 and len(data) > 2 * SLICE:
+        return _long_fingerprint(data, size)
+    texts = [_word_hashes(data[a:b].tobytes().split(), size) for a, b in zip(offsets[:-1], offsets[1:])]  # split at exactly 20, 09-0D
     counts = np.array([len(t) for t in texts], np.int64)
     out = np.zeros(len(texts), np.uint64)
     full = np.flatnonzero(counts)
     if not len(full):
         return out
     hashes = np.fromiter(itertools.chain.from_iterable(texts), np.uint64, int(counts.sum()))
-    n, first = counts[full], np.r_[0, np.cumsum(counts[full])[:-1]]
-    # Lanes hold up to 255, so sums are taken over runs of 255 hashes, then over the runs of a text.
-    per = -(-n // 255)
-    run_first = np.r_[0, np.cumsum(per)[:-1]]
-    inside = np.arange(per.sum()) - np.repeat(run_first, per)
-    at = np.repeat(first, per) + inside * 255
-    lanes = np.add.reduceat(LANES[hashes.view(np.uint8).reshape(-1, 8)], at, axis=0)
-    bits = np.add.reduceat(lanes.view(np.uint8).astype(np.int64), run_first, axis=0)
+    n = counts[full]
+    bits = _bit_counts(hashes, np.r_[0, np.cumsum(n)[:-1]], n)
     out[full] = np.packbits(bits * 2 > n[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
     return out
 
