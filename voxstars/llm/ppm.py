@@ -392,7 +392,8 @@ def score(docs, held_out, order=ORDER, chunk_bytes=16 << 20, most_alike=HEAVY):
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks, buckets = max(1, -(-size // chunk_bytes)), 64
-    while buckets < 16_384 and buckets * chunk_bytes < size:
+    # Groups stay near one chunk up to 16 TB and grow by six times to 100 TB; a chunk sends no more rows than it has keys.
+    while buckets < 1 << 20 and buckets * chunk_bytes < size:
         buckets *= 2
     chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk")
     texts = docs.select(chunk, F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))

@@ -451,7 +451,8 @@ def remove_repeats(docs, length=LENGTH, block_bytes=4 << 20, batch_bytes=1 << 20
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     buckets = 64
-    while buckets < 65_536 and buckets * (16 << 20) < size:
+    # Groups stay near 16 MB of text up to 16 TB and reach 100 MB at 100 TB; a block sends no more rows than it has anchors.
+    while buckets < 1 << 20 and buckets * (16 << 20) < size:
         buckets *= 2
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block")
     names = ["doc_id", *[c for c in carry if c != "doc_id"]]
