@@ -42,7 +42,7 @@ def test_only_suspects_carry_their_text(spark, tmp_path, make):
     scans = [line.split("ReadSchema: ")[1] for line in text.split("\n") if "ReadSchema" in line]
     assert sum("Text" not in s and "UserId" in s for s in scans) >= 1
     # A job that needs no text reads it for suspects only.
-    scans = [line.split("ReadSchema: ")[1] for line in plan(A.kpis(out)).split("\n") if "ReadSchema" in line]
+    scans = [line.split("ReadSchema: ")[1] for line in plan(A.score_distribution(out)).split("\n") if "ReadSchema" in line]
     assert sum("Text" in s for s in scans) == 1
     branch = plan(out).split("Union")[1].split("WindowGroupLimit")[0].split("Window ")[0]
     assert "BroadcastHashJoin" in branch and "Exchange hashpartitioning(ProductId" not in branch
@@ -58,6 +58,14 @@ def test_point_lookup_reaches_the_scan(spark, folder):
     assert "TakeOrderedAndProject" in text
 
 
+def test_key_figures_need_no_expand(spark, folder, make):
+    raw = reviews_from_tables(spark, folder)
+    assert "Expand" not in plan(A.kpis(P.prepare(raw, P.OVERVIEW)))
+    df = P.coerce_score(make(dict(ProductId=None), dict(UserId=None, Score="2"), dict(ProductId=None, Score=None)))
+    assert tuple(A.kpis(df).first()) == (3, 1, 1, 3.5)
+    assert tuple(A.kpis(df.filter("false")).first()) == (0, 0, 0, None)
+
+
 def test_top_per_group_is_cut_before_the_shuffle(spark):
     df = spark.range(100).select("id", (F.col("id") % 3).alias("g"))
     assert plan(top_per_group(df, ["g"], [F.col("id")], 5, "id")).count("WindowGroupLimit") == 2
