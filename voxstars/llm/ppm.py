@@ -118,9 +118,11 @@ def _word_buckets(words, buckets):
 
 
 def _by_bucket(keys, counts, words, word_counts, buckets):
-    """(bucket, keys, counts, words, word counts) as bytes, for every bucket that has any."""
+    """(bucket, keys, counts, words, word counts) as bytes, for every bucket that has any. The keys ascend."""
     cell = _bucket(keys, buckets)
-    order = np.lexsort((keys, cell))
+    # A stable sort leaves the keys of a bucket in order; of 16-bit numbers it is a radix sort.
+    cell = cell.astype(np.uint16) if buckets <= 1 << 16 else cell
+    order = np.argsort(cell, kind="stable")
     keys, counts, bounds = keys[order], counts[order], np.searchsorted(cell[order], np.arange(buckets + 1))
     word_cell = _word_buckets(words, buckets) if words else np.zeros(0, np.int64)
     word_order = np.argsort(word_cell, kind="stable")
