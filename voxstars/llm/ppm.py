@@ -45,23 +45,22 @@ ANSWERS = "chunk int, grams binary, log_p binary, words binary, word_counts bina
 def gram_keys(data, offsets, order):
     """Keys of every (context, byte): the nearest context byte stands highest, the coded byte lowest.
 
-    Also the place of each text's first key; a text of n bytes has n + 1 keys, the last for its end.
+    Also the place of each text's first key; a text of n bytes has n + 1 keys, the last for its end. The
+    texts are laid out with their start and end signs, and each key is read as one number of eight bytes.
     """
     n = np.diff(offsets)
     width = n + order + 1
     first = np.r_[0, np.cumsum(width)[:-1]]
-    padded = np.full(int(width.sum()), START, np.uint8)
-    rows = np.repeat(np.arange(len(n)), n)
-    padded[np.arange(len(data)) - offsets[:-1][rows] + first[rows] + order] = data
+    padded = np.full(int(width.sum()) + 8, START, np.uint8)
+    padded[np.arange(len(data)) + np.repeat(first + order - offsets[:-1], n)] = data
     padded[first + width - 1] = END
-    # Windows that lie in one text: those that end at its bytes and at its end sign.
-    ends = np.ones(len(padded), bool)
-    ends[(first[:, None] + np.arange(order)).ravel()] = False
-    ends = np.flatnonzero(ends)
-    keys = padded[ends].astype(np.int64)
-    for back in range(1, order + 1):
-        keys |= padded[ends - back].astype(np.int64) << (8 * (order + 1 - back))
-    return keys, np.r_[0, np.cumsum(n + 1)[:-1]]
+    place = np.r_[0, np.cumsum(n + 1)[:-1]]
+    # A key begins with the farthest byte of its context, ``order`` bytes before the coded one.
+    begins = np.arange(len(data) + len(n)) + np.repeat(first - place, n + 1)
+    eight = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))[begins]
+    bits = np.uint64(8 * order)
+    keys = ((eight & np.uint64((1 << (8 * order)) - 1)) << np.uint64(8)) | ((eight >> bits) & np.uint64(255))
+    return keys.view(np.int64), place
 
 
 def _distinct(parts, order):
