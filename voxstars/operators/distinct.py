@@ -39,8 +39,10 @@ def dense_ids(values, known=None):
 
 def distinct_bitmaps(df, column, ids):
     """(Month, bucket, bits): which numbered values each month's reviews have."""
-    rows = df.select(C.month_of().alias(MONTH), F.col(column).alias("value")).filter("value IS NOT NULL").distinct()
-    met = rows.join(ids, "value")  # a value has at most one row a month
+    known = df.select(C.month_of().alias(MONTH), F.col(column).alias("value")).filter("value IS NOT NULL")
+    # Months are gathered by value, which is also what the ids are joined by: one shuffle serves both.
+    months = known.groupBy("value").agg(F.collect_set(F.struct(MONTH)).alias("months"))
+    met = months.join(ids, "value").select("id", F.inline("months"))
     return met.groupBy(MONTH, F.bitmap_bucket_number("id").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("id")).alias("bits"))
 
 
