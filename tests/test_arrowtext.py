@@ -1,0 +1,131 @@
+"""Words cut from bytes against the regular expressions, and what the text jobs keep, move and repeat."""
+
+import glob
+import random
+
+from pyspark.sql import functions as F
+
+from voxstars import schema as S
+from voxstars.functions import arrowtext as W
+from voxstars.functions import columns as C
+from voxstars.functions.stopwords import ENGLISH
+from voxstars.operators import distinct as D
+from voxstars.operators import models as M
+from voxstars.operators import prepare as P
+from voxstars.operators import text as N
+from voxstars.plans import catalogue
+from voxstars.sources import staging
+
+PIECES = [
+    "tea", "Don't", "ÉMENT", "straße", "ΟΔΟΣ", "İstanbul", "ſtone", "K", "the", "50%", "a-b", " ", "  ", "\t", "\n", "\x1c", "\x1f", "\x0b", "\x85", " ",
+    " ", " ", " ", " ", " ", "　", "​", "᠎", "٣٤", "९", "𝟗", "\U00011f50", "\U0001e4f0", "—", "“x”", "語", "😀", ".", "_", "\x00", "\x7f", "½", "²",
+]
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def odd_texts(spark):
+    draw = random.Random(7)
+    rows = [(i, "".join(draw.choice(PIECES) for _ in range(draw.randrange(9)))) for i in range(1500)] + [(2000, None), (2001, "")]
+    return spark.createDataFrame(rows, "Id long, Text string").repartition(3)
+
+
+def test_words_are_those_of_the_regular_expressions(spark):
+    df = odd_texts(spark)
+    text = F.coalesce("Text", F.lit(""))
+    kept = F.filter(C.words(C.letters_only("Text")), lambda w: ~w.isin(["", *ENGLISH]))
+    want = df.select("Id", C.clean_punct(text).alias("c"), C.words(C.without_punct(text)).alias("w"), F.array_join(kept, " ").alias("l"))
+    got = df.select("Id", W.clean_punct("Text").alias("c"), W.word_arrays("Text").alias("w"), W.letters_without("Text", ENGLISH).alias("l"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_words_are_counted_in_the_tasks(spark, monkeypatch):
+    df = odd_texts(spark).withColumn("g", F.when(F.col("Id") % 3 > 0, F.col("Id") % 3))
+    want = df.select("g", F.explode(C.words(C.without_punct("Text"))).alias("word")).filter("word <> ''").groupBy("g", "word").count()
+    assert sorted(map(tuple, W.word_counts(df, "Text", W.without_punct, "g").collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    reviews = df.withColumn(S.SCORE, F.lit(5.0)).withColumnRenamed("g", S.PREDICTED)
+    for out in (N.word_frequencies(reviews, text="Text"), N.word_frequencies_by_class(reviews)):
+        assert "MapInArrow" in plan(out) and "Generate" not in plan(out)
+
+
+def test_lexicon_beyond_the_bound(spark, monkeypatch):
+    df = odd_texts(spark).unionByName(spark.createDataFrame([(5, "tea one more")], "Id long, Text string"))
+    words = [("tea", 0.5), ("dont", -1.0), ("stone", 0.25), ("x", -0.75), ("ab", None), ("語", 1.0), (None, 1.0), ("never", 1.0), ("tea", 0.0)]
+    lexicon = spark.createDataFrame(words, "word string, polarity double")
+    known = lexicon.groupBy("word").agg(F.avg("polarity").alias("polarity"))
+    each = df.select("Id", F.explode(C.words(C.without_punct(F.coalesce("Text", F.lit(""))))).alias("word")).join(known, "word", "left")
+    want = sorted(map(tuple, each.groupBy("Id").agg(F.round(F.coalesce(F.avg("polarity"), F.lit(0.0)), 9)).collect()))
+    small = N.lexicon_sentiment(df, lexicon)
+    assert sorted(map(tuple, small.drop("sentiment").collect())) == want
+    monkeypatch.setattr(N, "is_small", lambda table: False)
+    monkeypatch.setattr(N, "HOT_WORDS", 2)
+    large = N.lexicon_sentiment(df, lexicon)
+    assert sorted(map(tuple, large.drop("sentiment").collect())) == want
+    assert "SortMergeJoin" in plan(large) and "_salt" not in plan(large)
+
+
+def test_most_frequent_is_bounded(spark):
+    table = spark.createDataFrame([(i, i % 40) for i in range(400)], "word long, n long")
+    for most in (0, 5, 50, 399, 400):
+        assert table.filter(W.most_frequent(table, most)).count() <= most
+    assert table.filter(W.most_frequent(table, 400)).count() == 400
+
+
+def written(monkeypatch):
+    seen = []
+
+    def note(df, *args, **options):
+        seen.append(df.columns)
+        return staging.stage(df, *args, **options)
+
+    return seen, note
+
+
+def test_the_scatter_sample_writes_ids_only(reviews, monkeypatch):
+    seen, note = written(monkeypatch)
+    monkeypatch.setattr(catalogue, "stage", note)
+    assert catalogue.length_vs_helpfulness(reviews).count() > 0
+    assert seen == [[S.ID]]
+
+
+def test_indexed_reviews_are_stored_without_the_combined_text(reviews, monkeypatch):
+    seen, note = written(monkeypatch)
+    monkeypatch.setattr(catalogue, "stage", note)
+    catalogue.keyword_count_indexed(reviews.limit(50))
+    assert len(seen) == 1 and S.TEXT in seen[0] and S.COMBINED not in seen[0]
+
+
+def test_the_csv_read_whole_is_compressed(spark, folder, monkeypatch):
+    paths = []
+    made = catalogue._csv_of
+    monkeypatch.setattr(catalogue, "_csv_of", lambda *a: paths.append(made(*a)) or paths[-1])
+    assert catalogue.read_back(spark, folder).count() > 0
+    assert glob.glob(f"{paths[0]}/*.csv.gz") and not glob.glob(f"{paths[0]}/*.csv")
+
+
+def test_bitmaps_shuffle_rows_by_value_once(spark, make):
+    df = P.prepare(make(dict(), dict(Time=None), dict(ProductId=None), dict(ProductId="P2", Time=1340000000)), P.REVENUE)
+    ids = D.dense_ids(df.select(S.PRODUCT))
+    keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = D.distinct_bitmaps(staging.stage(df), S.PRODUCT, ids)
+        assert plan(out).count("Exchange hashpartitioning(value") == 2  # one a side of the join
+        months = {str(r["Month"]): r["n"] for r in D.count_distinct(out, "Month").collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
+    assert months == {"2012-10-01": 1, "None": 1, "2012-06-01": 1}
+
+
+def test_the_text_model_is_fitted_on_written_counts(spark, monkeypatch):
+    seen, note = written(monkeypatch)
+    monkeypatch.setattr(M, "stage", note)
+    rows = [("Positive", "good tea"), ("Negative", "bad tea"), ("Positive", "nice good"), ("Negative", "awful"), (None, "x"), ("Positive", None)]
+    model = M.fit_sentiment(spark.createDataFrame(rows, f"{S.TRUE_SENTIMENT} string, {S.TEXT} string"), n_features=64)
+    assert seen == [["_label", "_tf"]]
+    assert model.stages[-2].numClasses == 3 and model.stages[-2].numFeatures == 64
+    texts = spark.createDataFrame([(1, "good nice"), (2, "bad awful"), (3, None)], f"{S.ID} long, {S.TEXT} string")
+    got = {r[S.ID]: r[S.PREDICTED] for r in M.score_sentiment(model, texts).collect()}
+    assert got[1] == "Positive" and got[2] == "Negative" and set(got) == {1, 2, 3}
