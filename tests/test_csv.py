@@ -1,9 +1,12 @@
 """Records of large CSV files read in splits, against Spark's own multi-line reader."""
 
+import os
 import random
+import re
 
 import pytest
 
+from voxstars.plans import catalogue
 from voxstars.schema import CSV_SCHEMA
 from voxstars.sources.csv import read_reviews, read_split_reviews, split_records
 
@@ -64,3 +67,25 @@ def test_unquoted_fields_and_blank_lines(spark, tmp_path):
     (tmp_path / "a.csv").write_text(f"{HEADER}\n1,P,U,n,1,2,5,99,short,words here\n\n2,P,U,,0,0,4,98,NA,null")
     got = read_split_reviews(spark, str(tmp_path))
     assert rows(got) == rows(read_reviews(spark, str(tmp_path))) and got.count() == 2
+
+
+def test_lines_are_put_together_where_they_are_read(small_splits, tmp_path):
+    write(tmp_path / "a.csv", texts(3, 60))
+    plan = split_records(small_splits, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"Exchange hashpartitioning\((\w+)", plan) == ["file"]  # of the pieces at the borders
+    assert plan.index("Exchange hashpartitioning") < plan.rindex("MapInArrow")
+
+
+def test_the_disk_holds_one_part_of_the_reviews(spark, folder, monkeypatch):
+    made, paths, there = catalogue._csv_of, [], []
+
+    def note(*a):
+        there.append([p for p in paths if os.path.exists(p)])
+        paths.append(made(*a))
+        return paths[-1]
+
+    monkeypatch.setattr(catalogue, "_csv_of", note)
+    monkeypatch.setattr(catalogue, "CSV_PART_BYTES", 6_000_000)
+    got = catalogue.read_back_split(spark, folder)
+    assert len(paths) > 2 and there == [[]] * len(paths) and not any(map(os.path.exists, paths))
+    assert rows(got) == rows(catalogue.read_back(spark, folder))
