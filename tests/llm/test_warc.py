@@ -47,6 +47,25 @@ def test_empty_table(spark):
     assert warc.deduplicate(table(spark, []), spark).count() == 0
 
 
+@pytest.mark.parametrize("target_bytes, most", [(16 << 20, 1), (40_000, 8)])
+def test_archives_follow_bytes_not_shuffle_partitions(spark, tmp_path, target_bytes, most):
+    pages = [(i, f"http://{i}", "same" if i % 3 == 0 else f"{i} " * 100) for i in range(400)]
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for key, value in held.items():
+            spark.conf.set(key, value)
+        read = warc.deduplicate(table(spark, pages), spark, target_bytes=target_bytes, path=str(tmp_path / "warc"))
+        got = sorted(map(tuple, read.select("record_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()), key=str)
+        parts = read.rdd.getNumPartitions()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert got == expected(pages)
+    written = len(list((tmp_path / "warc").glob("part-*")))
+    assert written <= 2 * most and parts <= most
+
+
 def test_digest_equals_hashlib(spark):
     df = spark.createDataFrame([("",), ("abc",), ("ß漢",)], "x string").select("x", warc.base32_sha1(F.col("x")).alias("d"))
     for x, d in df.collect():

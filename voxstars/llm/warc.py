@@ -3,7 +3,9 @@
 Headers are shuffled by payload digest; of the records with one digest the smallest id stays a
 response and the others become revisit records that name it. Archives are written by Spark's own
 text writer, one record a row, so they land in any store the session can write to and a lost task is
-simply written again.
+simply written again. Their number follows the bytes, whatever the number of shuffle partitions: each
+small file costs a store several calls, and on a local disk without Hadoop's native library four child
+processes, each of which counts its executor's memory once more until it has started.
 
 Cases: a null payload is an empty one; payloads under ``min_bytes`` are responses always; rows that
 repeat the smallest id of their payload are responses too; a null id comes after every id; a null
@@ -185,9 +187,15 @@ def originals_of(read):
 
 
 def deduplicate(records, spark, min_bytes=0, target_bytes=16 << 20, path=None, **columns):
-    """Write a table of payloads as deduplicated archives, read them back and resolve the revisits."""
+    """Write a table of payloads as deduplicated archives, read them back and resolve the revisits.
+
+    Tasks that write, and parts of the result, are as many as archives of ``target_bytes`` are needed, or
+    fewer where the shuffle has fewer; a task with more records than an archive takes begins another.
+    """
     found = headers(records, **columns)
     rows, size = found.agg(F.count(F.lit(1)), F.sum("payload_bytes")).first()
     per_archive = max(1, math.floor(target_bytes / max(1, (size or 0) / max(1, rows) + 500)))
-    path = write_archives(resolve_revisits(found, min_bytes), path or shared_path(spark, "warc"), per_archive)
-    return originals_of(read_archives(spark, path))
+    archives = max(1, math.ceil(rows / per_archive))
+    resolved = resolve_revisits(found, min_bytes).coalesce(archives)
+    path = write_archives(resolved, path or shared_path(spark, "warc"), per_archive)
+    return originals_of(read_archives(spark, path)).coalesce(archives)
